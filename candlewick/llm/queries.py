@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules
+from . import chat_format, decontaminate, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_decontaminate"] = decontaminate.oracle()
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.examples(chat_format.with_hostile(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE_SQL["op4_chat_format"] = chat_format.oracle()
