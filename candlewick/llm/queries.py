@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_rules
-from .common import table
+from . import chat_format, decontaminate, quality_rules, sharding
+from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +47,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op4_chat_format"] = chat_format.oracle()
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = f"{shared_dir(spark)}/candlewick-slots-{uuid.uuid4().hex}"
+    return sharding.sharded(table(spark, sf_dir, "documents"), store).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+    )
