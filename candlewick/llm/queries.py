@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, sharding, substring_dedup
+from . import chat_format, decontaminate, jaccard_join, packing, quality_rules, sharding, substring_dedup
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     taken = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "text", F.size("__spans").cast("long").alias("n_repeats"), taken.alias("repeated_bytes"), F.col("__spans").alias("spans"))
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "is_first")
