@@ -83,7 +83,7 @@ def _repeat_words(words: Column) -> Column:
         at = lambda k: F.element_at(words, (i + k).cast("int"))
         return F.struct(F.concat_ws(" ", at(0), at(1), at(2)).alias("w"), i.cast("int").alias("i"))
 
-    return F.when(n >= 4, F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), window)))
+    return F.when(n >= 4, F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), window)))
 
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,7 +98,6 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         (F.length("__t") - F.length(F.translate("__t", "!", ""))).cast("long").alias("n_shouts"),
         F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"),
     )
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
     d = d.select("*", _repeat_words(F.col("__w")).alias("__s"), F.array_distinct("__w").alias("__u"))
     # Equal neighbours of the sorted windows: the places of the former and of the latter.
     s = F.col("__s")
@@ -116,7 +115,7 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "word_chars",
         "n_symbols",
         "n_shouts",
-        F.size(F.filter("__w", lambda w: F.array_contains(stop, F.lower(w)))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("__w", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
         F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("__p").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
