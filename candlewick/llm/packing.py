@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,14 +34,26 @@ END_ID = 1
 #: Ranks within a length are counted apart in so many parts, so that a hot length is dealt out.
 SALTS = 64
 #: Chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 class ChunkTokenizer:
     """Ids of texts, by chunks between blanks, tabs and line ends.
 
     The vocabulary drops white space and no token spans it, so a text's ids are
-    those of its chunks one after another. Each chunk is encoded once.
+    those of its chunks one after another. It folds case, and splits a letter
+    from a full stop or comma after it, so a capitalised word or one before such
+    a mark takes its ids from the plain word. Each plain word is encoded once.
     """
 
     def __init__(self, path: str):
@@ -48,19 +61,67 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.merge = self.of.model.tokenize
+        self.known: dict[str, bytes] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        self.known.clear()
+        self.known[""] = b""
+        for c, e in zip(".,", self.of.encode_batch_fast([".", ","], add_special_tokens=False)):
+            self.known[c] = array("I", e.ids).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known, derived, plain = self.known, [], set()
+        for c in new:
+            mark = c[-1] if c[-1] in ".," else ""
+            word = c[:-1] if mark else c
+            # Beyond Latin letters, folding may depend on neighbours.
+            if word and word[-1].isalpha() and max(word) < "\u0250":
+                word = word.lower()
+                if word != c:
+                    derived.append((c, word, mark))
+            else:
+                word = c
+            if word not in known:
+                plain.add(word)
+        words = []
+        for w in plain:
+            if w.isalpha() and max(w) < "\u0250" and w == w.lower():
+                # One run of letters that no normalization changes: the model's input is its bytes.
+                known[w] = array("I", [t.id for t in self.merge(w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                words.append(w)
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            for c, e in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False)):
+                known[c] = array("I", e.ids).tobytes()
+        for c, word, mark in derived:
+            known[c] = known[word] + known[mark]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            known = self.known
-            if new := [c for c in set(chunks) if c not in known]:
-                if len(known) + len(new) > REMEMBERED:
-                    self.known = known = {c: known[c] for c in set(chunks) if c in known}
-                for c, e in zip(new, self.of.encode_batch_fast(new, add_special_tokens=False)):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([known[c] for c in chunks])
+        """Unsigned 32-bit ids of each text."""
+        known = self.known
+        for at in range(0, len(texts), 64):
+            parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts[at : at + 64]]
+            distinct = set().union(*parts)
+            if new := distinct.difference(known):
+                if len(known) > REMEMBERED:
+                    self._restart()
+                    new = distinct.difference(known)
+                self._learn(new)
+            for chunks in parts:
+                yield b"".join([known[c] for c in chunks])
+
+
+#: Each worker process keeps its tokenizers, and what they know, from task to task.
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> ChunkTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -70,7 +131,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tok = ChunkTokenizer(tokenizer)
+        tok = tokenizer_at(tokenizer)
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
             for k, ids in enumerate(tok.ids(batch.column(1).to_pylist())):
