@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, packing, quality_rules, sharding, substring_dedup, url_filter
+from . import chat_format, decontaminate, html_extract, jaccard_join, license_scan, packing, quality_rules, sharding, substring_dedup, url_filter
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree of files: source/language/thousand/hundred. One that opens with a licence line is its thousand's licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    opens = F.coalesce(F.col("text").rlike(r"(?i)^[^\n]*\blicen[cs]ed?\b"), F.lit(False))
+    top = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000))
+    path = F.when(opens, F.concat(top, F.lit("/LICENSE-"), "doc_id")).otherwise(F.concat(top, F.lit("/"), F.floor(F.col("doc_id") / 100), F.lit("/"), "doc_id", F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text")).withColumn("similarity", F.round("similarity", 6))
