@@ -141,7 +141,8 @@ def kept_rows(docs: DataFrame, text: str = "text", thresholds: tuple[Threshold,
     """The rows of ``docs`` that the rules keep, with all their columns unchanged."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     held = row.select("__row", F.col(f"__row.`{text}`").alias("__text"))
-    verdict = judged(held, "__row", "__text", thresholds).where("kept")
+    # Not a filter: pushed below the projections, it would compute each count anew wherever it is named.
+    verdict = judged(held, "__row", "__text", thresholds).select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
     return verdict.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
