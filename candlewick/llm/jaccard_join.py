@@ -40,8 +40,9 @@ EMBED = 64
 CHILDREN = 2.0
 RUNS = 10
 DEPTH = 3
-#: Sets that one task compares by brute force; larger buckets are split or dealt as blocks.
-BUCKET = 512
+#: Sets, and grams of them, that a task compares by brute force; larger buckets are split or dealt as pairs of such blocks.
+BUCKET = 1024
+BLOCK_GRAMS = 4 << 20
 TARGET_RECALL = 0.9999
 #: A bucket's children that keep this share of it show that its sets are alike.
 ALIKE = 0.5
@@ -112,8 +113,8 @@ def embedded(grams: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key``, digest of the text (null: null), number of grams and embedding of each row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    """``key``, digest of the text (null: null), number of grams and embedding of each row; ``x``: Spark's hash of the text."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("x"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
@@ -125,9 +126,9 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 g = grams(t)
                 n.append(len(g))
                 sketch.append(embedded(g).tobytes() if len(g) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary())], ["key", "t", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), batch.column(2)], ["key", "t", "n", "sketch", "x"])
 
-    return rows.mapInArrow(run, f"key {kind}, t binary, n int, sketch binary")
+    return rows.mapInArrow(run, f"key {kind}, t binary, n int, sketch binary, x long")
 
 
 def _chosen(paths: np.ndarray, sketch: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +145,7 @@ def _embeddings(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, EMBED)
 
 
-_PATHS = "path long, parent long, used long, t binary"
+_PATHS = "path long, parent long, used long, grams int, t binary"
 
 
 def _split_roots(reps: DataFrame, runs: int) -> DataFrame:
@@ -154,39 +155,39 @@ def _split_roots(reps: DataFrame, runs: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                t, sketch = part.column(0), _embeddings(part.column(1))
+                t, sketch, n = part.column(0), _embeddings(part.column(1)), part.column(2)
                 for r in range(runs):
                     root = _mix(np.full(len(sketch), r + 1, np.uint64))
                     row, place, child = _chosen(root, sketch, np.zeros(len(sketch), np.uint64))
-                    yield _paths(child, root[row], np.uint64(1) << place.astype(np.uint64), t.take(pa.array(row)))
+                    yield _paths(child, root[row], np.uint64(1) << place.astype(np.uint64), n.take(pa.array(row)), t.take(pa.array(row)))
 
-    return reps.select("t", "sketch").mapInArrow(run, _PATHS)
+    return reps.select("t", "sketch", "n").mapInArrow(run, _PATHS)
 
 
 def _split_more(large: DataFrame) -> DataFrame:
-    """A further level: rows of ``path, used, t, sketch``."""
+    """A further level: rows of ``path, used, grams, t, sketch``."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
                 path, used = (np.asarray(part.column(k), np.int64).view(np.uint64) for k in (0, 1))
-                row, place, child = _chosen(path, _embeddings(part.column(3)), used)
-                yield _paths(child, path[row], used[row] | np.uint64(1) << place.astype(np.uint64), part.column(2).take(pa.array(row)))
+                row, place, child = _chosen(path, _embeddings(part.column(4)), used)
+                yield _paths(child, path[row], used[row] | np.uint64(1) << place.astype(np.uint64), part.column(2).take(pa.array(row)), part.column(3).take(pa.array(row)))
 
-    return large.select("path", "used", "t", "sketch").mapInArrow(run, _PATHS)
+    return large.select("path", "used", "grams", "t", "sketch").mapInArrow(run, _PATHS)
 
 
-def _paths(path: np.ndarray, parent: np.ndarray, used: np.ndarray, t: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(used.view(np.int64)), t], ["path", "parent", "used", "t"])
+def _paths(path: np.ndarray, parent: np.ndarray, used: np.ndarray, grams: pa.Array, t: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(used.view(np.int64)), grams, t], ["path", "parent", "used", "grams", "t"])
 
 
 def _leaves(reps: DataFrame, runs: int) -> DataFrame:
-    """``leaf, t, n``: the sets of each bucket to be compared, with its size. Equal buckets are kept once."""
+    """``leaf, t, n, grams``: the sets of each bucket to be compared, with its size. Equal buckets are kept once."""
     level, parts, alike = written(_split_roots(reps, runs), "paths"), [], None
     for depth in range(DEPTH):
         sizes = level.groupBy("path").agg(
-            F.count("*").alias("n"), F.min("parent").alias("parent"),
+            F.count("*").alias("n"), F.sum("grams").alias("grams"), F.min("parent").alias("parent"),
             F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "t")).alias("y"),
         ).where("n > 1")
         sizes = written(sizes, "sizes")
@@ -200,15 +201,15 @@ def _leaves(reps: DataFrame, runs: int) -> DataFrame:
         parts.append((level, sizes if last else sizes.where(F.col("n") <= BUCKET)))
         if last:
             break
-        large_sizes = written(sizes.where(F.col("n") > BUCKET).select("path", "n", "x", "y"), "large")
+        large_sizes = written(sizes.where(F.col("n") > BUCKET).select("path", "n", "grams", "x", "y"), "large")
         if large_sizes.isEmpty():
             break
         large = level.join(large_sizes.select("path"), "path")
         level = written(_split_more(large.join(reps.select("t", "sketch"), "t")), "paths")
     rows = None
     for held, ends in parts:
-        once = ends.groupBy("x", "y", "n").agg(F.min("path").alias("path")).select("path", "n")
-        part = held.select("path", "t").join(once, "path").select(F.col("path").alias("leaf"), "t", "n")
+        once = ends.groupBy("x", "y", "n", "grams").agg(F.min("path").alias("path")).select("path", "n", "grams")
+        part = held.select("path", "t").join(once, "path").select(F.col("path").alias("leaf"), "t", "n", "grams")
         rows = part if rows is None else rows.unionByName(part)
     return written(rows, "leaves")
 
@@ -216,10 +217,10 @@ def _leaves(reps: DataFrame, runs: int) -> DataFrame:
 def _tasks(leaves: DataFrame) -> DataFrame:
     """``task, block, leaf, t``: each leaf, or each pair of its blocks, as a task of its own.
 
-    A leaf of n sets has about 2 n / BUCKET blocks and a set goes to as many
-    tasks, so that every pair of blocks meets in one.
+    A set goes to as many tasks as its leaf has blocks, so that every pair of
+    blocks meets in one.
     """
-    blocks = F.when(F.col("n") > BUCKET, F.ceil(2 * F.col("n") / BUCKET)).otherwise(F.lit(1)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("grams") / BLOCK_GRAMS), F.lit(1)).cast("int")
     d = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("leaf", "t"), F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", F.least("block", "other"), F.greatest("block", "other")))
@@ -387,7 +388,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     ``key``; ``class_id``: least id of the class, which links and equal texts
     join; ``n_links``: other texts with a similarity of ``threshold`` or more;
     ``n_copies``: rows with the same text; ``is_first``: whether the row stands
-    for its class; ``text_digest``: 128 bits, null for null texts.
+    for its class; ``text_hash``: Spark's ``xxhash64`` of the text, for joins back.
     """
     rows = written(sketches(docs, key, text), "sketches")
     reps = written(
@@ -405,9 +406,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     own = reps.select("t", "key", "n_copies").join(roots.withColumnRenamed("v", "t"), "t", "left").join(links, "t", "left")
     own = written(own.select("t", "key", "n_copies", F.coalesce("root", "t").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "own")
     first = own.groupBy("root").agg(F.min(F.struct("key", "t")).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("class_id"), F.col("first.t").alias("first_t"))
-    own = own.join(first, F.col("root").eqNullSafe(F.col("of"))).select(F.col("t").alias("text_digest"), "class_id", "first_t", "n_links", "n_copies")
+    own = own.join(first, F.col("root").eqNullSafe(F.col("of"))).select(F.col("t").alias("own_t"), "class_id", "first_t", "n_links", "n_copies")
     return (
-        rows.select("key", "t")
-        .join(own, F.col("t").eqNullSafe(F.col("text_digest")))
-        .select(F.col("key").alias(key), "class_id", "n_links", "n_copies", (F.col("key").eqNullSafe(F.col("class_id")) & F.col("t").eqNullSafe(F.col("first_t"))).alias("is_first"), "text_digest")
+        rows.select("key", "t", "x")
+        .join(own, F.col("t").eqNullSafe(F.col("own_t")))
+        .select(F.col("key").alias(key), "class_id", "n_links", "n_copies", (F.col("key").eqNullSafe(F.col("class_id")) & F.col("t").eqNullSafe(F.col("first_t"))).alias("is_first"), F.col("x").alias("text_hash"))
     )
+
+
+def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class left, all its columns unchanged.
+
+    The row with the class's least id stays; of rows equal in id and text, one.
+    """
+    marked = classes(docs, key, text, threshold).where("is_first")
+    held = written(marked.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows")), "firsts")
+    same = docs[f"`{key}`"].eqNullSafe(F.col("__key")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("__hash"))
+    out = docs.join(held.where("__rows = 1"), same, "left_semi")
+    repeated = held.where("__rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([key, text]))
+    return out
