@@ -1,10 +1,18 @@
-"""The training-data pipeline: stages applied one after another to ``documents``."""
+"""The training-data pipeline: stages applied one after another to ``documents``.
+
+Quality rules drop documents, the Jaccard join leaves one document of each group
+of near copies, substring deduplication takes later repeats out of texts (and
+sets ``n_chars`` anew; a text may end up empty), decontamination drops documents
+that hold a benchmark window, and packing gives the pieces of what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlewick.llm import quality_rules
+from candlewick.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup
 from candlewick.llm.common import table, written
 
 
@@ -13,7 +21,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_rows(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal and nearly equal texts."""
+    return jaccard_join.firsts(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier place holds."""
+    return substring_dedup.deduplicated(docs).drop("__spans").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("repeats", repeats),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
 #: Similarity classes, rolling hashes and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
