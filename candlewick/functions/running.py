@@ -8,6 +8,8 @@ has spans.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +18,39 @@ SPAN = 1 << 18
 _KINDS = {"max": F.max, "sum": F.sum}
 
 
-def running(df: DataFrame, keys: list[str], seq: str, out: str, value: Column, kind: str, inclusive: bool = False, span: int = SPAN) -> DataFrame:
-    """Adds ``out``: the ``kind`` (max, sum or last) of ``value`` over earlier rows of the key.
+@dataclass(frozen=True)
+class Running:
+    """The ``kind`` (max, sum or last) of ``value`` over a key's earlier rows.
 
     ``inclusive`` counts the row itself. ``last`` gives the last earlier value,
     null or not. No earlier row: null.
     """
-    cols = df.columns
-    d = df.withColumn("__span", F.floor(F.col(seq) / span)).withColumn("__v", value)
-    total = F.max_by(F.struct("__v"), seq) if kind == "last" else _KINDS[kind]("__v")
+
+    value: Column
+    kind: str
+    inclusive: bool = False
+
+
+def running(df: DataFrame, keys: list[str], seq: str, span: int = SPAN, **outs: Running) -> DataFrame:
+    """Adds a column per keyword. All share one aggregation, one join and one sort."""
+    columns = df.columns
+    d = df.withColumn("__span", F.floor(F.col(seq) / span))
+    for k, r in outs.items():
+        d = d.withColumn(f"__v_{k}", r.value)
+    total = lambda k, r: (F.max_by(F.struct(f"__v_{k}"), seq) if r.kind == "last" else _KINDS[r.kind](f"__v_{k}")).alias(f"__t_{k}")
     over = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy(*keys, "__span").agg(total.alias("__t"))
-    before = F.last("__t").over(over) if kind == "last" else _KINDS[kind]("__t").over(over)
-    totals = totals.withColumn("__before", before).drop("__t")
-    d = d.join(totals, [*keys, "__span"])
+    before = lambda k, r: ((F.last if r.kind == "last" else _KINDS[r.kind])(f"__t_{k}").over(over)).alias(f"__b_{k}")
+    totals = d.groupBy(*keys, "__span").agg(*[total(k, r) for k, r in outs.items()])
+    d = d.join(totals.select(*keys, "__span", *[before(k, r) for k, r in outs.items()]), [*keys, "__span"])
     inside = Window.partitionBy(*keys, "__span").orderBy(seq)
-    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    if kind == "last":
-        d = d.withColumn("__own", F.last(F.struct("__v")).over(frame))
-        result = F.coalesce("__own", "__before")["__v"]
-    else:
-        d = d.withColumn("__own", _KINDS[kind]("__v").over(frame))
-        result = F.greatest("__before", "__own") if kind == "max" else F.coalesce(F.col("__own") + F.col("__before"), "__own", "__before")
-    return d.withColumn(out, result).select(*cols, out)
+    result = []
+    for k, r in outs.items():
+        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
+        if r.kind == "last":
+            d = d.withColumn(f"__o_{k}", F.last(F.struct(f"__v_{k}")).over(frame))
+            result.append(F.coalesce(f"__o_{k}", f"__b_{k}")[f"__v_{k}"].alias(k))
+        else:
+            d = d.withColumn(f"__o_{k}", _KINDS[r.kind](f"__v_{k}").over(frame))
+            both = F.greatest if r.kind == "max" else lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)
+            result.append(both(f"__o_{k}", f"__b_{k}").alias(k))
+    return d.select(*columns, *result)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import SPAN, running
+from ..functions.running import SPAN, Running, running
 from ..functions.values import EXACT, minute_of
 
 KEYS = ["exchange", "pair"]
@@ -25,10 +25,10 @@ def flag_late(trades: DataFrame, keys: list[str] = KEYS, seq: str = "ingest_seq"
     columns = trades.columns
     d = trades.withColumn("ts_open", minute_of(F.col(ts), width))
     w = F.col("ts_open")
-    d = running(d, keys, seq, "__m", w, "max", span=span)
+    d = running(d, keys, seq, span, __m=Running(w, "max"))
     rises = F.col("__m").isNull() | (w > F.col("__m"))
-    d = running(d, keys, seq, "__p", F.when(rises, F.col("__m")), "max", span=span)
-    d = running(d, keys, seq, "__e", F.when(rises, 1).otherwise(0), "sum", inclusive=True, span=span)
+    risen = F.when(rises, 1).otherwise(0)
+    d = running(d, keys, seq, span, __p=Running(F.when(rises, F.col("__m")), "max"), __e=Running(risen, "sum", inclusive=True))
     sure = F.coalesce(w <= F.col("__p"), F.lit(False))
     live = d.where(~sure)
     epoch = [*keys, "__e"]

@@ -18,7 +18,9 @@ def minute_spine(spark, day: date, now: Column) -> DataFrame:
     start, end = C.day_bounds(day)
     one = F.expr(MINUTE)
     r = spark.range(1).select(start.alias("s"), F.least(now.cast("timestamp_ntz"), end).alias("h"))
-    return r.where(F.col("h") >= F.col("s") + one).select(F.explode(F.sequence(F.col("s"), F.col("h") - one, one)).alias("minute"))
+    # The bounds never cross, even where the filter is what leaves nothing.
+    spine = r.select("h", F.explode(F.sequence(F.col("s"), F.greatest(F.col("h") - one, F.col("s")), one)).alias("minute"))
+    return spine.where(F.col("minute") + one <= F.col("h")).select("minute")
 
 
 def down_minutes(intervals: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def down_minutes(intervals: DataFrame) -> DataFrame:
     last = F.date_trunc("minute", F.col("dis_end") - F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp_ntz")
     first = F.date_trunc("minute", F.col("dis_start")).cast("timestamp_ntz")
     spans = intervals.where("dis_start < dis_end")
-    return spans.select("exchange", F.explode(F.sequence(first, last, F.expr(MINUTE))).alias("minute")).distinct()
+    return spans.select("exchange", F.explode(F.sequence(first, F.greatest(first, last), F.expr(MINUTE))).alias("minute")).distinct()
 
 
 def key_universe(found: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.running import SPAN, running
+from ..functions.running import SPAN, Running, running
 from ..functions.values import sequence_id
 
 KEYS = ["exchange", "pair"]
@@ -20,8 +20,8 @@ def checked(trades: DataFrame, keys: list[str] = KEYS, seq: str = "ingest_seq",
     """
     columns = trades.columns
     d = trades.withColumn("__id", sequence_id(F.col(trade_id)))
-    d = running(d, keys, seq, "__last", F.col("__id"), "last", span=span)
-    d = running(d, keys, seq, "__bad", F.when(F.col("__id").isNull(), 1).otherwise(0), "sum", inclusive=True, span=span)
+    bad = F.when(F.col("__id").isNull(), 1).otherwise(0)
+    d = running(d, keys, seq, span, __last=Running(F.col("__id"), "last"), __bad=Running(bad, "sum", inclusive=True))
     first_bad = (F.col("__bad") == 1) & F.col("__id").isNull()
     check = (
         F.when((F.col("__bad") > 0) & ~first_bad, "untracked")
