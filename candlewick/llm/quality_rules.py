@@ -109,7 +109,7 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
     d = d.select("*", F.when(m >= 2, F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))).alias("__p"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("__p", lambda i: F.array(i, i + 1, i + 2)))))
-    return d.select(
+    counts = F.struct(
         F.col("__key").alias(key),
         F.size("__w").cast("long").alias("n_words"),
         "word_chars",
@@ -123,6 +123,8 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.size(F.filter("__l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter("__l", lambda x: x.rlike(r"^\s*[•‣*-]\s"))).cast("long").alias("n_bullet_lines"),
     )
+    # A generator, as a filter on the counts must not be pushed below the projections: it would compute each anew wherever it is named.
+    return d.select(F.explode(F.array(counts)).alias("__c")).select("__c.*")
 
 
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
@@ -141,8 +143,7 @@ def kept_rows(docs: DataFrame, text: str = "text", thresholds: tuple[Threshold,
     """The rows of ``docs`` that the rules keep, with all their columns unchanged."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     held = row.select("__row", F.col(f"__row.`{text}`").alias("__text"))
-    # Not a filter: pushed below the projections, it would compute each count anew wherever it is named.
-    verdict = judged(held, "__row", "__text", thresholds).select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row"))
+    verdict = judged(held, "__row", "__text", thresholds).where("kept")
     return verdict.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
