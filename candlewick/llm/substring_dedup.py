@@ -11,7 +11,7 @@ common phrases repeat by chance; a run of that length spans several chunks, so
 that one digest met by chance takes nothing out.
 
 Null and empty texts stay as they are. Rows that share an id count as one
-document, so repeated rows stay and keep the same text. Ties cannot occur, as a
+document, so repeated rows stay and keep the same text; a null id is the first. Ties cannot occur, as a
 place holds one chunk. Long texts are cut whole, with no bound on their chunks.
 Further columns pass through, whatever their names.
 """
