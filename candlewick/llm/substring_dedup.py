@@ -32,7 +32,7 @@ RATE = 16
 SHORTEST = 12
 #: A chunk ends here at the latest, so that text without cuts is many chunks.
 LONGEST = 1024
-MIN_WORDS = 12
+MIN_WORDS = 25
 SPACES = b" \t\n\v\f\r"
 
 
