@@ -20,6 +20,7 @@ from ..functions import values as V
 from ..operators import candles, clean, connectivity, coverage, sequence
 from ..session import utc
 from ..sources import archive, universe
+from ..sources.workspace import folder, written
 from ..streaming import processor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -362,7 +363,7 @@ states AS (
 
 def _inputs(spark: SparkSession, sf_dir: str) -> dict:
     c = plain(candles.candles(trades(spark, sf_dir))).select(*KEYS, "ts_open")
-    on_day = c.where(F.to_date("ts_open") == F.lit(DAY))
+    on_day = written(c.where(F.to_date("ts_open") == F.lit(DAY)))  # as the archive would have it
     return {
         "partitions": on_day.select(*KEYS).distinct(), "minutes": on_day, "files": files(spark, sf_dir), "events": stream_events(spark, sf_dir),
         "sessions": sessions(spark, sf_dir), "day": DAY, "now": at(REPORT_NOW),
@@ -427,8 +428,6 @@ def subscription_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _root(spark: SparkSession) -> str:
-    from ..sources.workspace import folder
-
     return f"{folder(spark)}/candlewick-{uuid.uuid4().hex}"
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -18,3 +19,10 @@ def folder(spark: SparkSession) -> str:
     if _own is None:
         _own = tempfile.mkdtemp(prefix="candlewick-")
     return f"file://{_own}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written there and read again: computed once, however often it is used."""
+    path = f"{folder(df.sparkSession)}/candlewick-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
