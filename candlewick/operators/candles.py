@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.running import SPAN, Running, running
 from ..functions.values import EXACT, minute_of
+from ..sources.workspace import written
 
 KEYS = ["exchange", "pair"]
 
@@ -21,29 +22,33 @@ def flag_late(trades: DataFrame, keys: list[str] = KEYS, seq: str = "ingest_seq"
     epoch and window u, the first rise is the least arrival of a later window
     after u was first seen, and a row is late if some u no older than its window
     had its first rise before it. Epochs hold few windows, so that join is small.
+
+    Only key, arrival and window take part; both passes are written to the
+    workspace, so nothing is computed twice, and the late rows, which are few, are
+    joined back.
     """
-    columns = trades.columns
-    d = trades.withColumn("ts_open", minute_of(F.col(ts), width))
+    whole = trades.withColumn("ts_open", minute_of(F.col(ts), width))
+    d = whole.select(*keys, F.col(seq).alias("__s"), "ts_open")
     w = F.col("ts_open")
-    d = running(d, keys, seq, span, __m=Running(w, "max"))
+    d = written(running(d, keys, "__s", span, __m=Running(w, "max")))
     rises = F.col("__m").isNull() | (w > F.col("__m"))
     risen = F.when(rises, 1).otherwise(0)
-    d = running(d, keys, seq, span, __p=Running(F.when(rises, F.col("__m")), "max"), __e=Running(risen, "sum", inclusive=True))
+    d = written(running(d, keys, "__s", span, __p=Running(F.when(rises, F.col("__m")), "max"), __e=Running(risen, "sum", inclusive=True)))
     sure = F.coalesce(w <= F.col("__p"), F.lit(False))
     live = d.where(~sure)
     epoch = [*keys, "__e"]
-    seen = live.groupBy(*epoch, F.col("ts_open").alias("__u")).agg(F.min(seq).alias("__f"))
+    seen = live.groupBy(*epoch, F.col("ts_open").alias("__u")).agg(F.min("__s").alias("__f"))
     rise = (
-        live.select(*epoch, "ts_open", F.col(seq).alias("__s"))
-        .join(seen, epoch)
+        live.join(seen, epoch)
         .where((F.col("ts_open") > F.col("__u")) & (F.col("__s") > F.col("__f")))
-        .groupBy(*epoch, "__u")
+        .groupBy(*epoch, F.col("__u").alias("ts_open"))
         .agg(F.min("__s").alias("__t"))
     )
-    newer = Window.partitionBy(*epoch).orderBy(F.desc("ts_open")).rowsBetween(Window.unboundedPreceding, 0)
-    first = seen.join(rise, [*epoch, "__u"], "left").withColumnRenamed("__u", "ts_open").withColumn("__t", F.min("__t").over(newer)).drop("__f")
-    d = d.join(first.where("__t IS NOT NULL"), [*epoch, "ts_open"], "left")
-    return d.select(*columns, "ts_open", (sure | F.coalesce(F.col("__t") < F.col(seq), F.lit(False))).alias("late"))
+    # Late from the first rise of any window no older than its own: of those that had one.
+    later = live.select(*epoch, "__s", w.alias("__w")).join(rise, epoch).where((F.col("ts_open") >= F.col("__w")) & (F.col("__t") < F.col("__s")))
+    late = d.where(sure).select(*keys, F.col("__s").alias(seq)).unionByName(later.select(*keys, F.col("__s").alias(seq)))
+    late = late.distinct().withColumn("late", F.lit(True))
+    return whole.join(late, [*keys, seq], "left").select(*whole.columns, F.coalesce("late", F.lit(False)).alias("late"))
 
 
 def _fold(seq: str) -> list[Column]:
