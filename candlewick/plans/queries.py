@@ -100,10 +100,10 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session starts with each 500th event, so they are few."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") % 500 == 0)
-    number = F.floor(F.col("event_id") / 500)
-    return e.select(number.alias("id"), F.col("ts").alias("started_at"), F.when(number % 3 != 0, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ended_at"))
+    """Every 500 events are one session, so they are few."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    s = e.groupBy(F.floor(F.col("event_id") / 500).alias("id")).agg(F.min("ts").alias("started_at"))
+    return s.select("id", "started_at", F.when(F.col("id") % 3 != 0, F.col("started_at") + F.expr("INTERVAL 1 HOUR")).alias("ended_at"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +139,8 @@ _EVENTS = f"""ev AS (
     CASE WHEN event_type IN ('click', 'view') AND event_id % 7 != 0 THEN upper(event_type) || '-USD' END AS pair,
     CASE event_type WHEN 'signup' THEN 'connected' WHEN 'error' THEN 'disconnected' WHEN 'click' THEN 'gap_detected' WHEN 'view' THEN 'late_trade' ELSE 'error' END AS kind
   FROM events)"""
-_SESSIONS = """se AS (
-  SELECT event_id // 500 AS id, ts AS started_at, CASE WHEN (event_id // 500) % 3 != 0 THEN ts + INTERVAL 1 HOUR END AS ended_at
-  FROM events WHERE event_id % 500 = 0)"""
+_SESSIONS = """st AS (SELECT event_id // 500 AS id, min(ts) AS started_at FROM events GROUP BY ALL),
+se AS (SELECT id, started_at, CASE WHEN id % 3 != 0 THEN started_at + INTERVAL 1 HOUR END AS ended_at FROM st)"""
 _DAY = f"TIMESTAMP '{DAY} 00:00:00'"
 _NEXT = f"TIMESTAMP '{DAY} 00:00:00' + INTERVAL 1 DAY"
 
