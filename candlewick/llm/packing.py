@@ -47,6 +47,16 @@ def _byte_chars() -> dict[int, str]:
 _BYTE_CHARS = _byte_chars()
 
 
+class _Known(dict):
+    """Ids by chunk; one that is missing is learnt."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.learn(chunk)
+
+
 class ChunkTokenizer:
     """Ids of texts, by chunks between blanks, tabs and line ends.
 
@@ -62,56 +72,48 @@ class ChunkTokenizer:
 
         self.of = Tokenizer.from_file(path)
         self.merge = self.of.model.tokenize
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._learn)
         self._restart()
 
     def _restart(self) -> None:
         self.known.clear()
         self.known[""] = b""
-        for c, e in zip(".,", self.of.encode_batch_fast([".", ","], add_special_tokens=False)):
-            self.known[c] = array("I", e.ids).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        known, derived, plain = self.known, [], set()
-        for c in new:
-            mark = c[-1] if c[-1] in ".," else ""
-            word = c[:-1] if mark else c
-            # Beyond Latin letters, folding may depend on neighbours.
-            if word and word[-1].isalpha() and max(word) < "\u0250":
-                word = word.lower()
-                if word != c:
-                    derived.append((c, word, mark))
-            else:
-                word = c
-            if word not in known:
-                plain.add(word)
-        words = []
-        for w in plain:
-            if w.isalpha() and max(w) < "\u0250" and w == w.lower():
+        for c in ".,":
+            self.known[c] = self._encoded(c)
+
+    def _encoded(self, c: str) -> bytes:
+        return array("I", self.of.encode(c, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, c: str) -> bytes:
+        known = self.known
+        if len(known) > REMEMBERED:
+            self._restart()
+        mark = c[-1] if c[-1] in ".," else ""
+        word = c[:-1] if mark else c
+        # Beyond Latin letters, folding may depend on neighbours.
+        if not word or not word[-1].isalpha() or not (word.isascii() or max(word) < "\u0250"):
+            known[c] = ids = self._encoded(c)
+            return ids
+        word = word.lower()
+        ids = known.get(word)
+        if ids is None:
+            if word.isalpha() and word == word.lower():
                 # One run of letters that no normalization changes: the model's input is its bytes.
-                known[w] = array("I", [t.id for t in self.merge(w.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = array("I", [t.id for t in self.merge(own)]).tobytes()
             else:
-                words.append(w)
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            for c, e in zip(part, self.of.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = array("I", e.ids).tobytes()
-        for c, word, mark in derived:
-            known[c] = known[word] + known[mark]
+                ids = self._encoded(word)
+            known[word] = ids
+        if word != c:
+            known[c] = ids = ids + known[mark]
+        return ids
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Unsigned 32-bit ids of each text."""
         known = self.known
-        for at in range(0, len(texts), 64):
-            parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts[at : at + 64]]
-            distinct = set().union(*parts)
-            if new := distinct.difference(known):
-                if len(known) > REMEMBERED:
-                    self._restart()
-                    new = distinct.difference(known)
-                self._learn(new)
-            for chunks in parts:
-                yield b"".join([known[c] for c in chunks])
+        for text in texts:
+            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            yield b"".join([known[c] for c in chunks])
 
 
 #: Each worker process keeps its tokenizers, and what they know, from task to task.
@@ -230,13 +232,13 @@ def packed(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     spark = cut.sparkSession
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
     rows = cut.select(F.col(key).alias("key"), *names[1:]).withColumn("salt", F.pmod(F.xxhash64("key", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS rows, summed before they are dealt: bounded, and broadcast for it.
+    # At most capacity * SALTS rows, summed before they are dealt. The join deals by the window's own keys, so it costs no exchange.
     sizes = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
     firsts = written(sizes.selectExpr("length", "salt", "n", "sum(n) OVER (PARTITION BY length ORDER BY salt) - n AS first"), "ranks")
     histogram = {r["length"]: r["n"] for r in firsts.where(F.col("length") < capacity).groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(_places(planned(histogram, capacity), capacity))
     rank = F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY key, start, ids_crc32, doc_tokens)")
-    ranked = rows.withColumn("rank", rank).join(F.broadcast(firsts.drop("n")), ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("first"))
+    ranked = rows.withColumn("rank", rank).join(firsts.drop("n"), ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("first"))
     ranked = ranked.select("key", *names[1:], "rank")
     kind = ranked.schema["key"].dataType.simpleString()
 
