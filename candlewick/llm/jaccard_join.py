@@ -17,9 +17,10 @@ Within a bucket the embeddings pick the sets that may have a partner; the full
 is counted in the least bucket that both are in. What leaves a bucket is a
 number of links per set and a spanning forest, never pairs.
 
-Words are runs without white space. A text of one to four words is one gram. A
-null, empty or blank text has no gram and links to nothing; equal texts, nulls
-included, share a class all the same. Repeated rows are copies. Ties: the least
+Words are lower-cased runs of letters, digits and all characters beyond ASCII, so
+that copies which differ in case, marks or spacing have the same grams. A text of
+one to four words is one gram. A null text or one without words has no gram and
+links to nothing; equal texts, nulls included, share a class all the same. Repeated rows are copies. Ties: the least
 id represents. Texts are read whole. Only the named columns are read.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
+from .decontaminate import words_of
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -42,7 +44,7 @@ RUNS = 10
 DEPTH = 3
 #: Sets, and grams of them, that a task compares by brute force; larger buckets are split or dealt as pairs of such blocks.
 BUCKET = 1024
-BLOCK_GRAMS = 4 << 20
+BLOCK_GRAMS = 1 << 20
 TARGET_RECALL = 0.9999
 #: A bucket's children that keep this share of it show that its sets are alike.
 ALIKE = 0.5
@@ -76,10 +78,10 @@ class Grams:
     """The sorted set of 64-bit gram hashes of a text."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.split() if text else []
+        words = words_of(text.lower().encode()) if text else []
         known = self.known
         if new := [w for w in set(words) if w not in known]:
             if len(known) + len(new) > REMEMBERED:

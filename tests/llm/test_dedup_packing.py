@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -96,7 +97,7 @@ def test_chunks_resist_shifts():
 
 
 def grams(t):
-    w = (t or "").split()
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
 
 
@@ -146,7 +147,7 @@ def corpus(rng, n, family):
 def test_jaccard_join_against_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
     rng = random.Random(13)
-    texts = corpus(rng, 150, 4) + [None, None, "", "", " ", "a b", "a  b", "a b c d e", "word " * 30_000, ("word " * 30_000).strip()]
+    texts = corpus(rng, 150, 4) + [None, None, "", "", " ", "a b", "a  b", "a b c d e", "A, b! C dÉ", "a b c dé", "!? ..", "word " * 30_000, ("word " * 30_000).strip()]
     rows = list(enumerate(texts)) + [(0, texts[0]), (500, texts[3])]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, t string, n int")
     got = sorted(tuple(r) for r in jaccard_join.classes(docs).select("doc_id", "class_id", "n_links", "n_copies").collect())
