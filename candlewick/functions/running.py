@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 #: Arrival numbers in one span.
 SPAN = 1 << 18
-_KINDS = {"max": F.max, "sum": F.sum}
+_KINDS = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
 @dataclass(frozen=True)
 class Running:
-    """The ``kind`` (max, sum or last) of ``value`` over a key's earlier rows.
+    """The ``kind`` (max, min, sum or last) of ``value`` over a key's earlier rows.
 
     ``inclusive`` counts the row itself. ``last`` gives the last earlier value,
     null or not. No earlier row: null.
@@ -32,7 +32,7 @@ class Running:
 
 
 def running(df: DataFrame, keys: list[str], seq: str, span: int = SPAN, **outs: Running) -> DataFrame:
-    """Adds a column per keyword. All share one aggregation, one join and one sort."""
+    """Adds a column per keyword. All share one aggregation, one join and one sort. Without keys, the whole table is one."""
     columns = df.columns
     d = df.withColumn("__span", F.floor(F.col(seq) / span))
     for k, r in outs.items():
@@ -51,6 +51,6 @@ def running(df: DataFrame, keys: list[str], seq: str, span: int = SPAN, **outs:
             result.append(F.coalesce(f"__o_{k}", f"__b_{k}")[f"__v_{k}"].alias(k))
         else:
             d = d.withColumn(f"__o_{k}", _KINDS[r.kind](f"__v_{k}").over(frame))
-            both = F.greatest if r.kind == "max" else lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)
+            both = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)}[r.kind]
             result.append(both(f"__o_{k}", f"__b_{k}").alias(k))
     return d.select(*columns, *result)

@@ -23,12 +23,12 @@ def minute_spine(spark, day: date, now: Column) -> DataFrame:
     return spine.where(F.col("minute") + one <= F.col("h")).select("minute")
 
 
-def down_minutes(intervals: DataFrame) -> DataFrame:
-    """``exchange, minute`` of minutes that an interval overlaps, once each; an interval of a day has 1440 at most."""
+def overlapped(intervals: DataFrame, *columns: str) -> DataFrame:
+    """``columns, minute`` of minutes that an interval overlaps, once each; an interval of a day has 1440 at most."""
     last = F.date_trunc("minute", F.col("dis_end") - F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp_ntz")
     first = F.date_trunc("minute", F.col("dis_start")).cast("timestamp_ntz")
     spans = intervals.where("dis_start < dis_end")
-    return spans.select("exchange", F.explode(F.sequence(first, F.greatest(first, last), F.expr(MINUTE))).alias("minute")).distinct()
+    return spans.select(*columns, F.explode(F.sequence(first, F.greatest(first, last), F.expr(MINUTE))).alias("minute")).distinct()
 
 
 def key_universe(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,24 +36,20 @@ def key_universe(found: DataFrame, files: DataFrame) -> DataFrame:
     return found.select(*KEYS).unionByName(files.select(*KEYS)).distinct()
 
 
-def classified(keys: DataFrame, minutes: DataFrame, intervals: DataFrame, day: date, now: Column) -> DataFrame:
-    """``exchange, pair, minute, state`` of each elapsed minute: present before gap before quiet."""
-    spine = minute_spine(keys.sparkSession, day, now)
+def classified(keys: DataFrame, minutes: DataFrame, intervals: DataFrame, tails: DataFrame, day: date, now: Column) -> DataFrame:
+    """``exchange, pair, minute, state`` of each elapsed minute: present before gap before quiet.
+
+    ``intervals`` are down times of one exchange, ``tails`` (of sessions without
+    an end) of every exchange, so they are joined to the spine by minute alone.
+    """
     start, end = C.day_bounds(day)
+    spine = minute_spine(keys.sparkSession, day, now).join(overlapped(tails).withColumn("tail", F.lit(True)), "minute", "left")
     there = minutes.where(F.col("ts_open").isNotNull() & (F.col("ts_open") >= start) & (F.col("ts_open") < end))
     there = there.select(*KEYS, F.col("ts_open").alias("minute"), F.lit(True).alias("there")).distinct()
     # The spine has 1440 rows at most.
     d = keys.crossJoin(F.broadcast(spine)).join(there, [*KEYS, "minute"], "left")
-    d = d.join(down_minutes(intervals).withColumn("down", F.lit(True)), ["exchange", "minute"], "left")
-    return d.select(*KEYS, "minute", F.when(F.col("there"), "present").when(F.col("down"), "gap").otherwise("quiet").alias("state"))
-
-
-def intervals_of(events: DataFrame, sessions: DataFrame, exchanges: DataFrame, day: date) -> DataFrame:
-    """Down intervals and, for every exchange, the tails of sessions without an end. They may overlap."""
-    tails = C.session_tails(sessions, events, day)
-    # Exchanges and unended sessions: a handful each.
-    everywhere = exchanges.select("exchange").distinct().crossJoin(F.broadcast(tails.select("dis_start", "dis_end")))
-    return C.disconnected_intervals(events, day, exchanges).unionByName(everywhere)
+    d = d.join(overlapped(intervals, "exchange").withColumn("down", F.lit(True)), ["exchange", "minute"], "left")
+    return d.select(*KEYS, "minute", F.when(F.col("there"), "present").when(F.coalesce("down", "tail"), "gap").otherwise("quiet").alias("state"))
 
 
 def file_totals(files: DataFrame, day: date) -> DataFrame:
@@ -78,7 +74,7 @@ def coverage(partitions: DataFrame, minutes: DataFrame, files: DataFrame, events
     """
     on_day = files.where(F.col("date") == F.lit(day))
     keys = key_universe(partitions, on_day)
-    states = classified(keys, minutes, intervals_of(events, sessions, keys, day), day, now)
+    states = classified(keys, minutes, C.disconnected_intervals(events, day, keys), C.session_tails(sessions, events, day), day, now)
     counts = states.groupBy(*KEYS).agg(
         F.count("*").alias("expected_minutes"),
         *[F.count_if(F.col("state") == s).alias(f"{s}_minutes") for s in ("present", "quiet", "gap")],

@@ -372,7 +372,8 @@ def _inputs(spark: SparkSession, sf_dir: str) -> dict:
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _inputs(spark, sf_dir)
     keys = coverage.key_universe(i["partitions"], i["files"].where(F.col("date") == F.lit(DAY)))
-    return coverage.classified(keys, i["minutes"], coverage.intervals_of(i["events"], i["sessions"], keys, DAY), DAY, i["now"])
+    down, tails = connectivity.disconnected_intervals(i["events"], DAY, keys), connectivity.session_tails(i["sessions"], i["events"], DAY)
+    return coverage.classified(keys, i["minutes"], down, tails, DAY, i["now"])
 
 
 @query(f"WITH {_SPINE} SELECT * FROM spine")
