@@ -1,7 +1,8 @@
 """Main text of web pages, with the host's template taken out.
 
 A page is read into a flat list of events with well-nested elements, whatever
-the markup. Elements that are never part of an article go by tag, role or name.
+the markup. Elements that are never part of an article go by tag, role or name
+(a form or a named element that wraps most of a page without any other article stays).
 What is left of the page's article (its ``<article>`` elements, else ``<main>``,
 else the body) may still hold parts of the site's template. So each container in
 it is hashed with all below it, hashes are counted per host over different pages
@@ -79,17 +80,21 @@ _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 _PARTS = re.compile(r"[a-z]+")
 
 OPEN, CLOSE, TEXT = 0, 1, 2
+#: Whether an element goes by itself: not at all, by its name or as a form, or for good.
+KEPT, SOFT, HARD = 0, 1, 2
 
 
 class Page:
-    """Events ``(kind, element or text)``; per element its tag, parent, whether it goes and whether an article holds it."""
+    """Events ``(kind, element or text)``; per element its tag, parent, whether it goes by itself or
+    with a parent, and whether an article holds it."""
 
-    __slots__ = ("events", "tag", "parent", "gone", "inside")
+    __slots__ = ("events", "tag", "parent", "own", "gone", "inside")
 
     def __init__(self):
         self.events: list[tuple[int, object]] = []
         self.tag: list[str] = []
         self.parent: list[int] = []
+        self.own: list[int] = []
         self.gone: list[bool] = []
         self.inside: list[bool] = []
 
@@ -159,19 +164,22 @@ def parse(source: str) -> Page:
             close_open(*CLOSES[tag])
         up = stack[-1] if stack else -1
         held = up >= 0 and inside[up]
-        drop = up >= 0 and gone[up]
-        if not drop:
-            drop = tag in GONE or tag == "header" and not held
-            if not drop and (attributes := m[3]) and tag not in ("html", "body"):
-                low = attributes.lower()
-                if "class" in low or "id" in low or "role" in low:
-                    parts, role, hidden = _names(attributes)
-                    drop = hidden or role in GONE_ROLES or tag not in ROOTS and (not parts.isdisjoint(GONE_NAMES) or not held and not parts.isdisjoint(GONE_OUTSIDE))
-                    drop = drop or tag == "article" and not parts.isdisjoint(("comment", "comments", "teaser", "related"))
+        drop = HARD if tag in GONE or tag == "header" and not held else KEPT
+        if tag == "form" or tag == "fieldset":
+            drop = SOFT
+        elif not drop and (attributes := m[3]) and tag not in ("html", "body"):
+            low = attributes.lower()
+            if "class" in low or "id" in low or "role" in low:
+                parts, role, hidden = _names(attributes)
+                if hidden or role in GONE_ROLES or tag == "article" and not parts.isdisjoint(("comment", "comments", "teaser", "related")):
+                    drop = HARD
+                elif tag not in ROOTS and (not parts.isdisjoint(GONE_NAMES) or not held and not parts.isdisjoint(GONE_OUTSIDE)):
+                    drop = SOFT
         number = len(tags)
         tags.append(tag)
         page.parent.append(up)
-        gone.append(drop)
+        page.own.append(drop)
+        gone.append(drop != KEPT or up >= 0 and gone[up])
         inside.append(held or tag in ROOTS and not drop)
         events.append((OPEN, number))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in INLINE:
@@ -185,9 +193,33 @@ def parse(source: str) -> Page:
     if at < end:
         events.append((TEXT, source[at:]))
     close(len(stack))
+    if not any(t in ROOTS and not g for t, g in zip(tags, gone)):
+        _revive(page)
     return page
 
 
+def _revive(page: Page) -> None:
+    """On a page without an article of its own: an element that goes by its name, or a form, but holds
+    more than half of the text, is a wrapper around the article and stays."""
+    size, total, stack = [0] * len(page.tag), 0, []
+    for kind, x in page.events:
+        if kind == OPEN:
+            stack.append(x)
+        elif kind == CLOSE:
+            stack.pop()
+            if stack and page.own[x] != HARD:
+                size[stack[-1]] += size[x]
+        elif stack and page.own[stack[-1]] != HARD:
+            size[stack[-1]] += len(x.strip())
+    for x, up in enumerate(page.parent):
+        if up < 0 and page.own[x] != HARD:
+            total += size[x]
+    for x, up in enumerate(page.parent):  # parents come first
+        if page.own[x] == SOFT and 2 * size[x] > total:
+            page.own[x] = KEPT
+        page.gone[x] = page.own[x] != KEPT or up >= 0 and page.gone[up]
+
+
 def _root(page: Page) -> str:
     """The tag whose elements hold the article; empty: the whole page."""
     there = {t for t, g in zip(page.tag, page.gone) if t in ROOTS and not g}

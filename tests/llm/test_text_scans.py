@@ -65,6 +65,15 @@ def test_article():
     assert html_extract.text_of(html_extract.parse("<p>a &lt;b&gt; &#233;&amp;amp;<p>c")) == "a <b> é&amp;\nc"
 
 
+def test_wrappers_around_the_article_stay():
+    read = lambda h: html_extract.text_of(html_extract.parse(h))
+    long = "The story goes on and on, word after word. " * 3
+    assert read(f"<body><form action=x><nav>m</nav><article><p>{long}</article></form></body>") == long.strip()
+    assert read(f"<body><div class='page with-sidebar'><div id=menu>m</div><article><p>{long}</p></article><div class=sidebar>s</div></div></body>") == long.strip()
+    assert read(f"<body><div class='has-banner'><p>{long}</p><div class=ad>a</div></div></body>") == long.strip()
+    assert read(f"<article><p>a</p></article><div class=comments><article class=comment><p>{long}</p></article></div>") == "a"
+
+
 def test_broken_markup():
     for source in ["", "<", "<p", "a<b", "</p></div>x", "<!--", 'a<b c="', "<script>x", "<div>" * 30_000 + "deep" + "</div>" * 10, "<" * 30_000, "<a b='" + "'\"" * 5000, "<p></b></i>x</p>", "\x00<p>\ud7ff"]:
         html_extract.text_of(html_extract.parse(source))
