@@ -21,12 +21,16 @@ def exact(x: Column) -> Column:
 
 
 def number_fault(x: Column, name: str) -> Column:
-    """Why a double is no positive exact number, else null. A null number counts as not finite."""
+    """Why a double is no positive exact number, else null. A null number counts as not finite.
+
+    Decimals are looked at only near the bounds, where doubles cannot tell.
+    """
     d = exact(x)
+    over = d.isNull() | (F.abs(d) > F.lit(LARGEST).cast(EXACT))
     return (
         F.when(x.isNull() | not_finite(x), F.lit(f"non_finite:{name}"))
-        .when(d.isNull() | (F.abs(d) > F.lit(LARGEST).cast(EXACT)), F.lit(f"overflow:{name}"))
-        .when(d <= 0, F.lit(f"non_positive:{name}"))
+        .when((F.abs(x) > float(LARGEST) * 0.999) & over, F.lit(f"overflow:{name}"))
+        .when((x <= 0) | ((x < 1e-15) & (d <= 0)), F.lit(f"non_positive:{name}"))
     )
 
 

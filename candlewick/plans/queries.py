@@ -68,7 +68,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("time_exchange"),
         (F.col("ts") + F.expr("INTERVAL 1 SECOND")).cast("timestamp").alias("time_received"),
         F.col("value").alias("price"),
-        F.get_json_object("props", "$.k").cast("double").alias("amount"),
+        # A generator, so that filters on the amount do not parse the text anew at each mention.
+        F.explode(F.array(F.get_json_object("props", "$.k").cast("double"))).alias("amount"),
         F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"),
         F.lit(None).cast("string").alias("control"),
     )
