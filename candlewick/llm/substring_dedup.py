@@ -106,7 +106,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     c = chunks(docs, key, text)
     twice = written(c.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     places = written(c.join(twice, "h").select("h", "key", "start", "end"), "places")
-    firsts = places.groupBy("h").agg(F.min(F.struct("key", "start")).alias("first")).select("h", F.col("first.key").alias("k1"), F.col("first.start").alias("s1"))
+    firsts = places.groupBy("h").agg(F.min(F.struct("key", "start")).alias("first"))
+    # Written, so that the join has an exchange of its own, which Spark may split, and not the aggregation's.
+    firsts = written(firsts.select("h", F.col("first.key").alias("k1"), F.col("first.start").alias("s1")), "firsts")
     later = ~(F.col("key").eqNullSafe(F.col("k1")) & (F.col("start") == F.col("s1")))
     return places.join(firsts, "h").where(later).select("key", "start", "end", "h")
 
