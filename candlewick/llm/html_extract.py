@@ -4,12 +4,13 @@ A page is read into a flat list of events with well-nested elements, whatever
 the markup. Elements that are never part of an article go by tag, role or name
 (a form or a named element that wraps most of a page without any other article stays).
 What is left of the page's article (its ``<article>`` elements, else ``<main>``,
-else the body) may still hold parts of the site's template. So each container in
-it is hashed with all below it, hashes are counted per host over different pages
-in Spark, and a subtree that recurs on many of them is deleted. Inside
-``<article>`` or ``<main>`` plain text blocks are not counted as containers: a
-paragraph that many articles share is text. Equal pages count once, so copies of
-an article do not make it a template.
+else the body) may still hold parts of the site's template. So each element of
+the whole page, text blocks included, is hashed with all below it, hashes are
+counted per host over different pages in Spark, and a subtree that recurs on many
+of them is deleted. Inside ``<article>`` or ``<main>`` a plain text block has to
+recur on ``TEXT_PAGES`` pages and ``TEXT_SHARE`` of its host: a paragraph that
+some articles share is text. Equal pages count once, so copies of an article do
+not make it a template. Inline elements and table cells go with what holds them.
 
 Blocks of the rest, white space inside them made one space, are joined by line
 feeds in page order; character references are decoded.
@@ -36,6 +37,9 @@ from .url_filter import host_of
 #: A subtree is template if at least so many different pages of its host hold it, and this share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: The same for a text block inside an article.
+TEXT_PAGES = 30
+TEXT_SHARE = 0.5
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,6 +75,10 @@ P_BORDER = frozenset("table td th caption button object article section div main
 P_CLOSERS = BLOCK - {"br", "option", "optgroup", "caption", "tr", "tbody", "thead", "tfoot", "body", "html"}
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr caption figcaption summary br hr".split()) | INLINE
+#: Text blocks that are counted by themselves.
+COUNTED = TEXT_BLOCKS - INLINE - {"td", "th", "tr", "br", "hr"}
+#: Low bits of a subtree's hash: it is a text block; it stands inside an article.
+IS_TEXT, IS_INSIDE = 1, 2
 
 _TAG = re.compile(
     r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}'|["'])*?)(?:>|\Z))""",
@@ -246,22 +254,23 @@ def _walk(page: Page) -> Iterator[tuple[int, object]]:
 
 
 def subtrees(page: Page) -> Iterator[tuple[int, int]]:
-    """Element and hash of each subtree in the article that may be template: its tags and its text."""
+    """Element and hash of each subtree of the page that may be template: its tags and its text, without
+    what goes by itself in it. The low bits are ``IS_TEXT`` and ``IS_INSIDE``."""
     stack: list[tuple[int, list[str]]] = []
-    for kind, x in _walk(page):
+    for kind, x in page.events:
         if kind == TEXT:
-            if stack and (t := " ".join(x.split())):
+            if stack and x != "<br>" and (t := " ".join(x.split())):
                 stack[-1][1].append(t)
         elif kind == OPEN:
             stack.append((x, [page.tag[x]]))
-        elif stack and stack[-1][0] == x:
+        else:
             _, parts = stack.pop()
-            h = xxhash.xxh3_64_intdigest("\x1f".join(parts)) & 0x7FFFFFFFFFFFFFFF
-            if stack:
+            h = xxhash.xxh3_64_intdigest("\x1f".join(parts)) & 0x7FFFFFFFFFFFFFFC
+            if stack and (not page.gone[x] or page.gone[stack[-1][0]]):
                 stack[-1][1].append(f"\x1e{h:x}")
             tag = page.tag[x]
-            if len(parts) > 1 and tag not in ROOTS and tag not in ("html", "body") and tag not in (INLINE if not page.inside[x] else TEXT_BLOCKS):
-                yield x, h
+            if len(parts) > 1 and tag not in ROOTS and tag not in ("html", "body", "head") and (tag in COUNTED or tag not in TEXT_BLOCKS):
+                yield x, h | (IS_TEXT if tag in COUNTED else 0) | (IS_INSIDE if page.inside[x] else 0)
 
 
 def text_of(page: Page, template: frozenset | set = frozenset()) -> str:
@@ -299,38 +308,53 @@ def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``key, p, host, h``: each page's distinct subtree hashes; ``p`` is a hash of its html. A row with null ``h`` stands for the page itself."""
+    """``key, p, host, h, g, shown``: each page's distinct subtree hashes; ``p`` is a hash of its html, ``g`` of host and subtree; ``shown`` ones stand in its article. A row with null ``h`` stands for the page itself."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            at, p, h = [], [], []
-            for k, source in enumerate(batch.column(2)):
-                source = source.as_py() or ""
+            at, p, h, g, shown = [], [], [], [], []
+            for k, (host, source) in enumerate(zip(batch.column(1), batch.column(2))):
+                source, seed = source.as_py() or "", xxhash.xxh3_64_intdigest(host.as_py())
                 digest = xxhash.xxh3_64_intdigest(source) & 0x7FFFFFFFFFFFFFFF
-                found = {x for _, x in subtrees(parse(source))}
+                page = parse(source)
+                walked = {x for kind, x in _walk(page) if kind == OPEN}
+                found: dict[int, bool] = {}
+                for x, y in subtrees(page):
+                    found[y] = found.get(y, False) or x in walked
                 at += [k] * (1 + len(found))
                 p += [digest] * (1 + len(found))
                 h += [None, *found]
+                shown += [False, *found.values()]
+                g += [None, *(xxhash.xxh3_64_intdigest((x & ~IS_INSIDE).to_bytes(8, "little"), seed) >> 1 for x in found)]
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(p, pa.int64()), batch.column(1).take(take), pa.array(h, pa.int64())], ["key", "p", "host", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(p, pa.int64()), batch.column(1).take(take), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(shown, pa.bool_())], ["key", "p", "host", "h", "g", "shown"])
 
-    return rows.select("key", "host", "html").mapInArrow(run, f"key {kind}, p long, host string, h long")
+    return rows.select("key", "host", "html").mapInArrow(run, f"key {kind}, p long, host string, h long, g long, shown boolean")
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, h`` of subtrees that recur on many different pages of their host."""
-    counts = found.select("host", "h", "p").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
-    whole = counts.where("h IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("h").isNotNull() & (F.col("n") >= min_pages))
-    return often.join(whole, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h")
+    """``host, h`` of subtrees that recur on many different pages of their host, wherever they stand there.
+
+    Most subtrees stand on one page: a count of single numbers, copies of a page included, leaves few for the exact one.
+    Those that stand in no article of the host are counted no further, as no text holds them.
+    """
+    maybe = found.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n"), F.max("shown").alias("shown")).where((F.col("n") >= min_pages) & F.col("shown")).select("g")
+    alike = found.join(written(maybe, "recurring"), "g").select("host", F.col("h").bitwiseAND(~IS_INSIDE).alias("h"), "p").distinct()
+    counts = alike.groupBy("host", "h").agg(F.count("*").alias("n"))
+    whole = found.where("h IS NULL").select("host", "p").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    often = counts.where(F.col("n") >= min_pages).join(whole, "host")
+    often = often.where(F.col("n") >= min_share * F.col("pages"))
+    strict = (F.col("h").bitwiseAND(IS_TEXT) == 0) | (F.col("n") >= TEXT_PAGES) & (F.col("n") >= TEXT_SHARE * F.col("pages"))
+    inside = F.col("h").bitwiseOR(IS_INSIDE)
+    return often.select("host", F.explode(F.when(strict, F.array("h", inside)).otherwise(F.array("h"))).alias("h"))
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``key, url, text, n_chars, n_template``: the last counts the template's hashes that the page holds."""
+    """``key, url, text, n_chars, n_template``: the last counts the template's hashes that the page's article holds."""
     rows = _rows(pages, key, url, source)
     found = written(candidates(rows), "subtrees")
-    gone = found.where("h IS NOT NULL").join(templates(found, min_pages, min_share), ["host", "h"])
+    gone = found.where("shown").join(templates(found, min_pages, min_share), ["host", "h"])
     # One page's own hashes: bounded by the page.
     per = written(gone.groupBy("key", "p").agg(F.collect_set("h").alias("template")).select(F.col("key").alias("k"), "p", "template"), "template")
     joined = rows.drop("host").join(per.groupBy("k").agg(F.collect_list(F.struct("p", "template")).alias("template")), F.col("key").eqNullSafe(F.col("k")), "left").select("key", "url", "html", "template")

@@ -102,6 +102,15 @@ def test_template_goes_and_articles_stay(spark):
     assert html_extract.extracted(pages.limit(0)).count() == 0
 
 
+def test_text_blocks_on_every_page_go(spark):
+    """A notice in the article of every page goes; a paragraph of fewer articles stays."""
+    notice = "<p>Subscribe to our letter for more stories.</p>"
+    rows = [(i, f"http://a.org/{i}", f"<body><nav><ul><li>Home</li></ul></nav><article><p>Story {i}</p>{notice}{'<p>Some share this.</p>' if i < 15 else ''}</article></body>") for i in range(40)]
+    got = {r["page_id"]: r for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["text"] == (f"Story {i}\nSome share this." if i < 15 else f"Story {i}") for i in range(40))
+    assert {r["n_template"] for r in got.values()} == {1}
+
+
 def test_pages_against_plain_reading(spark, sf):
     import html
 
