@@ -6,10 +6,11 @@ the markup. Elements that are never part of an article go by tag, role or name
 What is left of the page's article (its ``<article>`` elements, else ``<main>``,
 else the body) may still hold parts of the site's template. So each element of
 the whole page, text blocks included, is hashed with all below it, hashes are
-counted per host over different pages in Spark, and a subtree that recurs on many
-of them is deleted. Inside ``<article>`` or ``<main>`` a plain text block has to
-recur on ``TEXT_PAGES`` pages and ``TEXT_SHARE`` of its host: a paragraph that
-some articles share is text. Equal pages count once, so copies of an article do
+counted per host over different pages in Spark, and a subtree that recurs on
+``MIN_PAGES`` of them is deleted, however large the host. A plain text block has
+to recur on ``MIN_SHARE`` of its host too, as short ones recur by chance, or with
+``LONG`` words on ``TEXT_PAGES`` pages; inside ``<article>`` or ``<main>`` on
+``TEXT_PAGES`` and ``TEXT_SHARE``: a paragraph that some articles share is text. Equal pages count once, so copies of an article do
 not make it a template. Inline elements and table cells go with what holds them.
 
 Blocks of the rest, white space inside them made one space, are joined by line
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 from .common import written
 from .url_filter import host_of
 
-#: A subtree is template if at least so many different pages of its host hold it, and this share of them.
+#: A subtree is template if at least so many different pages of its host hold it; a text block if this share of them does too.
 MIN_PAGES = 5
 MIN_SHARE = 0.2
-#: The same for a text block inside an article.
+#: The same for a text block inside an article; outside, one of ``LONG`` words needs the pages alone.
 TEXT_PAGES = 30
 TEXT_SHARE = 0.5
+LONG = 8
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,8 +79,8 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr caption figcaption summary br hr".split()) | INLINE
 #: Text blocks that are counted by themselves.
 COUNTED = TEXT_BLOCKS - INLINE - {"td", "th", "tr", "br", "hr"}
-#: Low bits of a subtree's hash: it is a text block; it stands inside an article.
-IS_TEXT, IS_INSIDE = 1, 2
+#: Low bits of a subtree's hash: it is a text block; it stands inside an article; it has ``LONG`` words.
+IS_TEXT, IS_INSIDE, IS_LONG = 1, 2, 4
 
 _TAG = re.compile(
     r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}'|["'])*?)(?:>|\Z))""",
@@ -255,22 +257,25 @@ def _walk(page: Page) -> Iterator[tuple[int, object]]:
 
 def subtrees(page: Page) -> Iterator[tuple[int, int]]:
     """Element and hash of each subtree of the page that may be template: its tags and its text, without
-    what goes by itself in it. The low bits are ``IS_TEXT`` and ``IS_INSIDE``."""
+    what goes by itself in it. The low bits are ``IS_TEXT``, ``IS_INSIDE`` and ``IS_LONG``."""
     stack: list[tuple[int, list[str]]] = []
+    words = [0] * len(page.tag)
     for kind, x in page.events:
         if kind == TEXT:
             if stack and x != "<br>" and (t := " ".join(x.split())):
                 stack[-1][1].append(t)
+                words[stack[-1][0]] += t.count(" ") + 1
         elif kind == OPEN:
             stack.append((x, [page.tag[x]]))
         else:
             _, parts = stack.pop()
-            h = xxhash.xxh3_64_intdigest("\x1f".join(parts)) & 0x7FFFFFFFFFFFFFFC
+            h = xxhash.xxh3_64_intdigest("\x1f".join(parts)) & 0x7FFFFFFFFFFFFFF8
             if stack and (not page.gone[x] or page.gone[stack[-1][0]]):
                 stack[-1][1].append(f"\x1e{h:x}")
+                words[stack[-1][0]] += words[x]
             tag = page.tag[x]
             if len(parts) > 1 and tag not in ROOTS and tag not in ("html", "body", "head") and (tag in COUNTED or tag not in TEXT_BLOCKS):
-                yield x, h | (IS_TEXT if tag in COUNTED else 0) | (IS_INSIDE if page.inside[x] else 0)
+                yield x, h | (IS_TEXT if tag in COUNTED else 0) | (IS_INSIDE if page.inside[x] else 0) | (IS_LONG if words[x] >= LONG else 0)
 
 
 def text_of(page: Page, template: frozenset | set = frozenset()) -> str:
@@ -344,8 +349,10 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     counts = alike.groupBy("host", "h").agg(F.count("*").alias("n"))
     whole = found.where("h IS NULL").select("host", "p").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = counts.where(F.col("n") >= min_pages).join(whole, "host")
-    often = often.where(F.col("n") >= min_share * F.col("pages"))
-    strict = (F.col("h").bitwiseAND(IS_TEXT) == 0) | (F.col("n") >= TEXT_PAGES) & (F.col("n") >= TEXT_SHARE * F.col("pages"))
+    block = F.col("h").bitwiseAND(IS_TEXT) == 0
+    long = (F.col("h").bitwiseAND(IS_LONG) != 0) & (F.col("n") >= TEXT_PAGES)
+    often = often.where(block | long | (F.col("n") >= min_share * F.col("pages")))
+    strict = block | (F.col("n") >= TEXT_PAGES) & (F.col("n") >= TEXT_SHARE * F.col("pages"))
     inside = F.col("h").bitwiseOR(IS_INSIDE)
     return often.select("host", F.explode(F.when(strict, F.array("h", inside)).otherwise(F.array("h"))).alias("h"))
 

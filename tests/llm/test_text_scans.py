@@ -111,6 +111,16 @@ def test_text_blocks_on_every_page_go(spark):
     assert {r["n_template"] for r in got.values()} == {1}
 
 
+def test_template_of_a_part_of_a_large_host_goes(spark):
+    box = "<section><p>More of this series</p></section>"
+    rows = [(i, f"http://a.org/{i}", f"<body><article><p>Story {i}</p>{box if i < 6 else ''}</article></body>") for i in range(60)]
+    note = "<p>This week only, read all our old issues for free.</p>"
+    rows += [(100 + i, f"http://b.org/{i}", f"<body><p>Story {i}</p>{note if i < 30 else ''}{'<p>Yes.</p>' if i < 30 else ''}</body>") for i in range(200)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(60))
+    assert all(got[100 + i] == f"Story {i}" + ("\nYes." if i < 30 else "") for i in range(200))
+
+
 def test_pages_against_plain_reading(spark, sf):
     import html
 
