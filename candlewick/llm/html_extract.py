@@ -82,8 +82,9 @@ COUNTED = TEXT_BLOCKS - INLINE - {"td", "th", "tr", "br", "hr"}
 #: Low bits of a subtree's hash: it is a text block; it stands inside an article; it has ``LONG`` words.
 IS_TEXT, IS_INSIDE, IS_LONG = 1, 2, 4
 
+#: Quoted values open after ``=`` and run to their closing quote, however far; no step is tried twice.
 _TAG = re.compile(
-    r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,20000}"|'[^']{0,20000}'|["'])*?)(?:>|\Z))""",
+    r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)(?:>|\Z))""",
     re.S,
 )
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/]|$))""", re.I)

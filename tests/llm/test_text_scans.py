@@ -81,6 +81,13 @@ def test_broken_markup():
     assert html_extract.text_of(html_extract.parse("<p>x < y && z</p>")) == "x < y && z"
 
 
+def test_long_attribute_values():
+    read = lambda h: html_extract.text_of(html_extract.parse(h))
+    for quote in "\"'":
+        assert read(f"<article><p data-x={quote}{'a > b ' * 20_000}{quote}>text</p><p class=x>more</article>") == "text\nmore"
+    assert read("<article><p title=it's>don't</p><a b=\"" + "<c d=\"'" * 20_000) == "don't"
+
+
 def test_template_goes_and_articles_stay(spark):
     template = "<section class=k{0}><p>Follow our channel for more</p><p>Every day</p></section>"
     rows = []
