@@ -83,6 +83,21 @@ def test_substring_dedup(spark):
     assert substring_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_few_words_go():
+    """Passages of one to six distinct words in two contexts: the second place loses most of them."""
+    rng = random.Random(13)
+    for n, least in ((51, 0.6), (150, 0.95), (300, 0.98)):
+        lost = 0
+        for k in range(200):
+            vocabulary = prose(rng, 40).split()[: 1 + k % 6]
+            passage = " ".join(rng.choice(vocabulary) for _ in range(n))
+            a, b = (f"{prose(rng, 40)}\n{passage}\n{prose(rng, 40)}".encode() for _ in range(2))
+            of = lambda t: [(x, y, xxhash.xxh3_64_intdigest(t[x:y])) for x, y in zip([0, *substring_dedup.cuts(t).tolist()], substring_dedup.cuts(t).tolist())]
+            known = {h for _, _, h in of(a)}
+            lost += bool(substring_dedup._runs(b, [c for c in of(b) if c[2] in known], substring_dedup.MIN_WORDS))
+        assert lost >= least * 200, (n, lost)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(12)
     a = prose(rng, 2000).encode()
