@@ -35,7 +35,6 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 MIN_COUNT = 12
-MIN_SUPPORT = 0.0005
 MIN_CONFIDENCE = 0.5
 MAX_SHARE = 0.5
 BAD = "label:bad"
@@ -72,18 +71,21 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(scheme, split(host_of(u), "h:", r"[^a-z0-9]+"), split(path_of(u), "p:", r"[^a-z0-9]+"), names))
 
 
-def mined(labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mined(labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules from labelled urls: ``rule_id, tokens, anchor, confidence, support_count``."""
     spark = labelled.sparkSession
     rows = written(labelled.select(F.monotonically_increasing_id().alias("id"), tokens(F.col(url)).alias("tokens"), F.col(bad).alias("bad")).where("bad IS NOT NULL"), "labelled")
     n = rows.count()
     if not n:
         return spark.range(0).selectExpr("id AS rule_id", "array('') AS tokens", "'' AS anchor", "1D AS confidence", "1D AS support_count")
-    shares = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    # A token of a rule stands on at least ``min_count`` bad urls, as the whole rule does.
+    shares = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).where(F.col("b") >= min_count).drop("b")
     useful = rows.select("id", F.explode("tokens").alias("token")).join(shares.where(F.col("n") <= MAX_SHARE * n), "token")
     sets = useful.groupBy("id").agg(F.collect_list("token").alias("t")).join(rows.select("id", "bad"), "id")
     sets = sets.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
-    support = max(min_support, min(1.0, min_count / n))
+    sets = written(sets, "sets")
+    n = max(sets.count(), 1)  # what FP-growth's shares refer to
+    support = min(1.0, (min_count - 0.5) / n)  # rounded up to min_count, at every size
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(sets).associationRules
     sure = F.col("confidence") - 2 * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) * F.col("confidence") / (F.col("support") * n))
     rules = rules.where(F.col("consequent") == F.array(F.lit(BAD))).where(sure >= min_confidence)

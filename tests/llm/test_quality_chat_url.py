@@ -156,3 +156,10 @@ def test_url_association_rules(spark):
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, labelled).collect()}
     assert got == {i: "block" if {"h:two", "p:play"} <= tokens(u) else "allow" for i, (u, _) in enumerate(rows)}
+
+
+def test_url_rules_need_as_many_pages_at_every_size(spark):
+    rows = [(f"https://site{i % 5000}.org/{i}", False) for i in range(30_000)] + [(f"https://rare.net/{i}", True) for i in range(12)]
+    rules = url_filter.mined(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert {"h:rare"} in [set(r["tokens"]) for r in rules]
+    assert {round(r["support_count"]) for r in rules} == {12}
