@@ -1,11 +1,14 @@
 """License scans: notices by TF-IDF cosine, then inheritance from directories.
 
-A notice is a line with a cue word (licence, copyright, SPDX, released, rights),
-with up to ``AROUND`` lines that follow without a blank line, as long as each
-brings it closer to a template. Closeness is the cosine of sparse TF-IDF vectors over word and word-pair terms; weights come
-from the templates, numbers count as one term but a version is read from the
-match. The best template at ``THRESHOLD`` or more names the notice; a file takes
-its best notice, the earliest among equals, then the template's order.
+A notice begins at a line with a cue (licence, copyright, SPDX, released, rights,
+permission) and takes in lines after it, blank ones passed over, as long as they
+bring it closer to a template; it ends where it was closest, once ``PATIENCE``
+lines in a row have not. Closeness is the cosine of sparse TF-IDF vectors over
+word and word-pair terms; weights come from the templates, numbers count as one
+term but a version is read from the match. The best template at ``THRESHOLD`` or
+more names the notice; among equal cosines the longer template, then their order.
+A file takes its best notice, the earliest among equals. That all rights are
+reserved names a file only if no other notice does, as most licences say so too.
 
 A file named LICENSE, LICENCE, COPYING, NOTICE or UNLICENSE (any ending) licenses
 its directory. A file without a notice of its own inherits from the nearest
@@ -14,7 +17,7 @@ their ancestors by path, so each file is joined once.
 
 Null and empty texts have no notice; a null path lies in no directory. Repeated
 rows get equal results. Texts are read whole, by lines. Several licence files in
-one directory: the best match, then the least name. Only the named columns are read.
+one directory: the best match, then the least name and version. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -30,26 +33,57 @@ from pyspark.sql import functions as F
 from .common import written
 
 THRESHOLD = 0.6
-AROUND = 12
+PATIENCE = 3
 
-# Licence notices in their usual wording.
+# Licence notices, and the openings or the whole text of licence files, in their usual wording.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT.",
+    ),
     ("Apache", "Licensed under the Apache License, Version 2.0."),
     ("Apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("Apache", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("GPL", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("GPL", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("LGPL", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("AGPL", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("AGPL", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies.",
+    ),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
     ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL", "Mozilla Public License Version 2.0"),
+    ("MPL", "SPDX-License-Identifier: MPL-2.0"),
     ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
@@ -61,13 +95,27 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright (c) 2020 The Authors. All rights reserved."),
 )
-_CUE = re.compile(r"licen[cs]|copyright|spdx|released (?:under|into)|rights reserved|unencumbered|redistribution and use|permission is hereby|public license|waived all", re.I)
+WEAK = "Proprietary"
+# What a notice's first line holds.
+CUES = (
+    "licens", "licenc", "copyright", "spdx", "released under", "released into", "rights reserved", "unencumbered", "redistribution and use", "permission is hereby",
+    "permission to use", "waived all",
+)
 _WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", re.I)
-_VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_VERSION = re.compile(r"\bv(?:ersion\b|\.|(?=[0-9]))\s*([0-9]+(?:\.[0-9]+)*)", re.I)
+_NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 
 
-def terms(text: str) -> Counter:
-    words = ["0" if w[0].isdigit() else w.lower() for w in _WORD.findall(text)]
+def has_cue(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in CUES)
+
+
+def words_of(text: str) -> list[str]:
+    return ["0" if w[0].isdigit() else w.lower() for w in _WORD.findall(text)]
+
+
+def terms(words: list[str]) -> Counter:
     return Counter(words) + Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
 
 
@@ -75,77 +123,99 @@ class Templates:
     """Unit TF-IDF vectors of the templates, as postings by term."""
 
     def __init__(self, templates=TEMPLATES):
-        counts = [terms(t) for _, t in templates]
+        counts = [terms(words_of(t)) for _, t in templates]
         n, df = len(counts), Counter(k for c in counts for k in c)
         #: A term that no template has weighs as the rarest one: it can only lower a cosine.
         self.other = math.log(1 + n) + 1
         self.idf = {k: math.log((1 + n) / (1 + d)) + 1 for k, d in df.items()}
         self.names = [name for name, _ in templates]
+        self.size = [sum(c.values()) for c in counts]
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for at, c in enumerate(counts):
             norm = math.sqrt(sum((v * self.idf[k]) ** 2 for k, v in c.items()))
             for k, v in c.items():
                 self.postings.setdefault(k, []).append((at, v * self.idf[k] / norm))
 
-    def best(self, text: str) -> tuple[float, int]:
-        """Cosine and number of the closest template; ties: the first."""
-        dots, norm = [0.0] * len(self.names), 0.0
-        for k, v in terms(text).items():
-            w = v * self.idf.get(k, self.other)
-            norm += w * w
-            for at, x in self.postings.get(k, ()):
-                dots[at] += w * x
-        top = max(range(len(dots)), key=lambda i: (dots[i], -i))
-        return (dots[top] / math.sqrt(norm), top) if norm else (0.0, 0)
-
-
-def notices(text: str, templates: Templates, threshold: float = THRESHOLD, known: dict | None = None) -> list[tuple[str, str, float, int, str]]:
-    """``(licence, version, cosine, line, line's text)`` of each notice, from the top. ``known`` remembers windows."""
-    if not text or not _CUE.search(text):
+
+class Window:
+    """A growing run of lines, and its cosine to each template."""
+
+    def __init__(self, templates: Templates):
+        self.of, self.dots, self.norm = templates, [0.0] * len(templates.names), 0.0
+        self.counts: dict[str, int] = {}
+        self.last: str | None = None
+
+    def add(self, line: str) -> bool:
+        """Whether the line had a word."""
+        words = words_of(line)
+        if not words:
+            return False
+        joined = words if self.last is None else [self.last, *words]
+        for k in [*words, *(f"{a} {b}" for a, b in zip(joined, joined[1:]))]:
+            w = self.of.idf.get(k, self.of.other)
+            had = self.counts.get(k, 0)
+            self.counts[k] = had + 1
+            self.norm += w * w * (2 * had + 1)
+            for at, x in self.of.postings.get(k, ()):
+                self.dots[at] += w * x
+        self.last = words[-1]
+        return True
+
+    def best(self) -> tuple[float, int]:
+        """Cosine and number of the closest template; ties: the longer, then the first."""
+        root, size = math.sqrt(self.norm) or 1.0, self.of.size
+        return max(((round(d / root, 9), size[k], -k) for k, d in enumerate(self.dots)), default=(0.0, 0, 0))[::2]
+
+
+def notices(text: str, templates: Templates, threshold: float = THRESHOLD) -> list[tuple[str, str, float, int, str]]:
+    """``(licence, version, cosine, line, line's text)`` of each notice, from the top."""
+    if not text or not has_cue(text):
         return []
-    known = {} if known is None else known
     lines, out, at = text.split("\n"), [], 0
     while at < len(lines):
-        if not _CUE.search(lines[at]):
+        if not has_cue(lines[at]):
             at += 1
             continue
-        end = at + 1
-        while end < len(lines) and end - at <= AROUND and lines[end].strip():
-            end += 1
-        score, window, used, top = -1.0, "", 1, 0
-        for n in range(1, end - at + 1):
-            w = lines[at] if n == 1 else f"{window} {lines[at + n - 1]}"
-            if (found := known.get(w)) is None:
-                found = templates.best(w)
-                if len(w) < 1000:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[w] = found
-            if found[0] <= score:  # the notice ended before this line
-                break
-            (score, top), window, used = found, w, n
+        window, score, top, used, idle = Window(templates), -1.0, 0, 1, 0
+        for n in range(at, len(lines)):
+            if not window.add(lines[n]):
+                continue
+            now, which = window.best()
+            if now > score:
+                score, top, used, idle = now, -which, n + 1 - at, 0
+            else:
+                idle += 1
+                if idle == PATIENCE:
+                    break
         if score >= threshold:
-            version = _VERSION.search(window)
-            out.append((templates.names[top], version[0] if version else "", score, at, lines[at]))
+            run = " ".join(lines[at : at + used])
+            version = _VERSION.search(run)
+            number = version[1] if version else next(iter(_NUMBER.findall(run)), "")
+            out.append((templates.names[top], number, score, at, lines[at]))
             at += used
         else:
             at += 1
     return out
 
 
+def chosen(found: list[tuple[str, str, float, int, str]]) -> tuple[str | None, str | None, float | None]:
+    """Licence, version and cosine of the notice that names the file."""
+    top = max(found, key=lambda x: (x[0] != WEAK, x[2], -x[3]), default=(None, None, None))
+    return top[:3]
+
+
 def scanned(files: DataFrame, key: str, path: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """``key, path, own, version, similarity, n_notices`` of each file; ``own`` null without a notice."""
     rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
-        templates, known = Templates(), {}
+        templates = Templates()
         for batch in batches:
             out = []
             for t in batch.column(2):
-                found = notices(t.as_py(), templates, threshold, known)
-                top = max(found, key=lambda x: (round(x[2], 9), -x[3]), default=(None, None, None))
-                out.append((*top[:3], len(found)))
+                found = notices(t.as_py(), templates, threshold)
+                out.append((*chosen(found), len(found)))
             own, version, score, n = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(own, pa.string()), pa.array(version, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())],
@@ -176,7 +246,7 @@ def normal(directory: Column) -> Column:
 def inherited(found: DataFrame) -> DataFrame:
     """Adds ``licence``, ``source`` (own, inherited or none), ``inherited_from`` and ``levels_up``."""
     d = found.withColumn("dir", normal(directory_of(F.col("path"))))
-    best = F.max(F.struct(F.round("similarity", 9).alias("s"), F.struct(F.col("own"), F.col("version")).alias("l")))
+    best = F.min(F.struct((F.col("own") == WEAK).alias("weak"), (-F.round("similarity", 9)).alias("s"), F.struct(F.col("own"), F.col("version")).alias("l")))
     held = d.where(F.col("own").isNotNull() & F.col("path").rlike(_LICENCE_FILE)).groupBy("dir").agg(best.alias("b"))
     held = written(held.select(F.col("dir").alias("at"), F.col("b.l.own").alias("dir_licence"), F.col("b.l.version").alias("dir_version")), "licences")
     wanting = d.where("own IS NULL AND dir IS NOT NULL").select("dir").distinct()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -160,7 +161,7 @@ def brute_licence(path, own, files):
         at = parts[:k]
         held = [(s, o) for p, o, s in files if p is not None and o and re.search(r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$", p) and [x for x in p.split("/")[:-1] if x] == at]
         if held:
-            return max(held)[1]
+            return min((o == license_scan.WEAK, -s, o) for s, o in held)[2]
     return None
 
 
@@ -173,16 +174,53 @@ def test_inheritance_against_brute_force(spark):
         folder = "/".join(rng.choice("ab") for _ in range(depth))
         name = rng.choice(["f.py", "g.txt", "LICENSE", "COPYING.md", "licence-x"]) if rng.random() < 0.15 else f"{i}.py"
         own = rng.choice(list(notice)) if rng.random() < 0.12 else None
+    far = "Copyright 2020 A\n" + "\n" * 40 + wrapped.replace(" ", "\n")  # a notice of over 20 lines
+    assert read(far)[0][0] == "MIT"
+
+
+FILES = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 John Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "BSD": "Copyright (c) 2019, The Project Authors\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce",
+    "Apache": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      \"License\" shall mean the terms and conditions for use, reproduction,",
+    "ISC": "ISC License\n\nCopyright (c) 2004-2010 by Internet Systems Consortium, Inc.\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "GPL": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>",
+    "LGPL": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.",
+    "AGPL": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n",
+    "MPL": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. \"Contributor\"",
+    "Proprietary": "Copyright (c) 2021 The ACME Authors. All rights reserved.\n\nint main() {",
+}
+
+
+def cosine(text, template):
+    """Of TF-IDF vectors, by the definition."""
+    w = lambda t: ["0" if x[0].isdigit() else x.lower() for x in re.findall(r"[a-zA-Z]+|[0-9]+(?:\.[0-9]+)*", t)]
+    vector = lambda t: Counter([*w(t), *zip(w(t), w(t)[1:])])
+    every = [set(vector(t)) for _, t in license_scan.TEMPLATES]
+    idf = lambda k: math.log((1 + len(every)) / (1 + sum(k in e for e in every))) + 1
+    a, b = ({k: v * idf(k) for k, v in vector(t).items()} for t in (text, template))
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    return sum(x * b.get(k, 0) for k, x in a.items()) / (size(a) * size(b) or 1)
+
+
+def test_licence_files_against_brute_force():
+    t = license_scan.Templates()
+    for name, text in FILES.items():
+        found = license_scan.notices(text, t)
+        assert license_scan.chosen(found)[0] == name, (name, found)
+        lines = text.split("\n")
+        for got, _, score, at, _ in found:  # the best of all runs of lines from the notice's first that lines improve
+            best, run = max((round(cosine("\n".join(lines[at:n]), x), 9), n) for n in range(at + 1, len(lines) + 1) for _, x in license_scan.TEMPLATES)
+            assert abs(best - score) < 1e-8
+            assert max((round(cosine("\n".join(lines[at:run]), x), 9), len(x), y) for y, x in license_scan.TEMPLATES)[2] == got
         rows.append((i, f"{folder}/{name}" if folder else name, (notice[own] + "\n" if own else "") + "some words", 1))
     rows.append(rows[-1])
     files = spark.createDataFrame(rows, "doc_id long, path string, text string, licence long")
     got = license_scan.scan(files).collect()
     assert len(got) == len(rows)
     own = {}
-    t = license_scan.Templates()
-    for i, p, text, _ in rows:
-        found = license_scan.notices(text or "", t)
-        own[i] = (found[0][0], round(found[0][2], 9)) if found else (None, None)
+    for i, p, text, _ in rows:  # a file has its whole notice or none
+        held = [(round(cosine(line, x), 9), len(x), y) for line in (text or "").split("\n")[:1] for y, x in license_scan.TEMPLATES]
+        own[i] = (max(held)[2], max(held)[0]) if held and max(held)[0] >= license_scan.THRESHOLD else (None, None)
     held = [(p, *own[i]) for i, p, _, _ in rows]
     for r in got:
         mine = own[r["doc_id"]][0]
@@ -190,3 +228,4 @@ def test_inheritance_against_brute_force(spark):
         assert r["licence"] == want and r["own"] == mine, r
         assert r["source"] == ("own" if mine else "inherited" if want else "none")
     assert license_scan.scan(files.where(F.lit(False))).count() == 0
+    rows += [(900, "tie/LICENSE", notice["MIT"], 1), (901, "tie/COPYING", "Licensed under CC BY 4.0.", 1), (902, "tie/x.py", "words", 1), (903, "tie/NOTICE", "All rights reserved.", 1)]
