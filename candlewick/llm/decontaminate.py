@@ -3,14 +3,19 @@
 Words are lower-cased runs (A-Z only) of letters, digits and all characters
 beyond ASCII. A window is ten consecutive words of an item; an item with fewer
 words, but not none, is one window. All windows of one length form one pattern
-set: a shift table over two-word blocks says how far the search may jump, a
-bucket per last block holds the candidate windows, and a direct comparison
-confirms each occurrence.
+set: a shift table over two-word blocks says how far the search may jump, the
+windows that end in a block form its bucket, where a hash picks the ones to look
+at, and a direct comparison confirms each occurrence.
+
+Patterns are places in one array of word numbers, and the tables are sorted
+arrays beside it: some 30 bytes a window, besides the words themselves. A Python
+worker keeps the tables of the last few blocks of items from task to task.
 
 Nulls, empty texts and texts without words: no words, no hits. Items without
-words match nothing; repeated items each count. Repeated document rows are
-judged one by one. Long texts are searched whole. Only the named columns are
-read, so further columns cannot clash.
+words match nothing; repeated items each count; an item with a null id is
+searched, so its words count as hit, but cannot be listed. Repeated document
+rows are judged one by one. Long texts are searched whole. Only the named columns
+are read, so further columns cannot clash.
 
 The benchmark is a stated query set. Its size is measured first; items are
 searched in blocks of at most ``block_bytes`` of text, one pass over the
@@ -20,8 +25,10 @@ documents per block, and the hits of several blocks are merged by key.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +37,9 @@ from .common import written
 
 WINDOW = 10
 #: Text of the items that one pass holds in each Python worker's memory at most.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Blocks whose tables a worker keeps.
+KEPT_BLOCKS = 2
 
 #: A-Z to a-z; every other ASCII byte that is no letter or digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -40,62 +49,121 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A 40-bit hash of each window of ``n`` word numbers."""
+    h = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h + words[k : k + len(h)].astype(np.uint64)) * _FACTOR
+        h ^= h >> np.uint64(29)
+    return h >> np.uint64(24)
+
+
 class WuManber:
-    """All patterns of one length in words, with the items that each stands for."""
+    """All windows of one length, given by their starts in an array of word numbers from 1 on."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray):
+        self.length, self.words = length, words
         self.block = min(2, length)
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[tuple[bytes, ...], set]] = {}
-
-    def add(self, pattern: tuple[bytes, ...], item: object) -> None:
-        n, b = self.length, self.block
-        for end in range(b, n + 1):
-            key = b" ".join(pattern[end - b : end])
-            self.shift[key] = min(self.shift.get(key, n), n - end)
-        self.buckets.setdefault(b" ".join(pattern[n - b :]), {}).setdefault(pattern, set()).add(item)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """Start and items of each occurrence, from left to right."""
-        n, total, jump = self.length, len(words), self.length - self.block + 1
-        shift, buckets = self.shift.get, self.buckets
-        end = n
-        pair = self.block == 2
-        while end <= total:
-            key = words[end - 2] + b" " + words[end - 1] if pair else words[end - 1]
-            step = shift(key)
-            if step is None:
-                end += jump
-            elif step:
-                end += step
+        #: A block's least distance to a window's end, by sorted block.
+        blocks, distance = [], []
+        for d in range(length - self.block + 1):
+            blocks.append(np.unique(self._blocks(words)[starts + length - self.block - d]))
+            distance.append(np.full(len(blocks[-1]), d, np.uint8))
+        key, distance = np.concatenate(blocks), np.concatenate(distance)
+        order = np.lexsort((distance, key))
+        key, distance = key[order], distance[order]
+        least = np.append(True, key[1:] != key[:-1])[: len(key)]
+        self.keys, self.shift = key[least], distance[least]
+        #: Windows by bucket, the number of their last block, and hash in it.
+        bucket = np.searchsorted(self.keys, self._blocks(words)[starts + length - self.block]).astype(np.uint64)
+        place = (bucket << np.uint64(40)) | _hashes(words, length)[starts]
+        order = np.argsort(place, kind="stable")
+        self.place, self.starts = place[order], starts[order]
+
+    def _blocks(self, words: np.ndarray) -> np.ndarray:
+        w = words.astype(np.uint64)
+        return w if self.block == 1 else (w[:-1] << np.uint64(32)) | w[1:]
+
+    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the occurrences, from left to right, and where each window stands in the items."""
+        n, total = self.length, len(words)
+        none = np.zeros(0, np.int64)
+        if total < n or not len(self.keys):
+            return none, none
+        blocks = self._blocks(words)
+        at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
+        step = np.where(self.keys[at] == blocks, self.shift[at], n - self.block + 1).tolist()
+        ends, k, last = [], n - self.block, total - self.block
+        while k <= last:
+            if jump := step[k]:
+                k += jump
             else:
-                if items := buckets[key].get(tuple(words[end - n : end])):
-                    yield end - n, items
-                end += 1
-
-
-def compile_items(items: Iterable[tuple[object, bytes | None]], window: int = WINDOW) -> list[WuManber]:
-    """One searcher per pattern length; short items keep their own length."""
-    by_length: dict[int, WuManber] = {}
-    for item, text in items:
-        words = tuple(words_of(text))
-        if words:
-            n = min(window, len(words))
-            found = by_length.setdefault(n, WuManber(n))
-            for i in range(len(words) - n + 1):
-                found.add(words[i : i + n], item)
-    return list(by_length.values())
-
-
-def find(searchers: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Disjoint, sorted word ranges that occurrences cover, and the items that occur."""
-    spans, items = [], set()
-    for s in searchers:
-        for start, found in s.search(words):
-            spans.append((start, start + s.length))
-            items |= found
-    return joined(spans), items
+                ends.append(k)
+                k += 1
+        if not ends:
+            return none, none
+        ends = np.array(ends)
+        start = ends - (n - self.block)
+        place = (at[ends].astype(np.uint64) << np.uint64(40)) | _hashes(words, n)[start]
+        low, high = np.searchsorted(self.place, place, "left"), np.searchsorted(self.place, place, "right")
+        count = high - low
+        start, low = np.repeat(start, count), np.repeat(low, count)
+        if not len(start):
+            return none, none
+        first = np.cumsum(count) - count
+        found = self.starts[low + np.arange(len(low)) - np.repeat(first, count)]
+        within = np.arange(n)
+        same = (words[start[:, None] + within] == self.words[found[:, None] + within]).all(axis=1)
+        return start[same], found[same]
+
+
+class Items:
+    """The items of one block: their words as numbers, and a searcher for each length of windows."""
+
+    def __init__(self, items: Iterable[tuple[object, bytes | None]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        number = self.number.setdefault
+        self.names, first, words = [], [], []
+        by_length: dict[int, list[int]] = {}
+        for item, text in items:
+            own = [number(w, len(self.number) + 1) for w in words_of(text)]
+            if own:
+                n = min(window, len(own))
+                by_length.setdefault(n, []).extend(range(len(words), len(words) + len(own) - n + 1))
+                self.names.append(item)
+                first.append(len(words))
+                words += own
+        self.first = np.array(first, np.int64)
+        text = np.array(words, np.uint32)
+        self.searchers = [WuManber(n, text, np.array(starts, np.int64)) for n, starts in by_length.items()]
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Disjoint, sorted word ranges that occurrences cover, and the items with an id that occur."""
+        get = self.number.get
+        numbers = np.array([get(w, 0) for w in words], np.uint32)
+        spans, items = [], set()
+        for s in self.searchers:
+            start, found = s.search(numbers)
+            spans += [(x, x + s.length) for x in np.unique(start).tolist()]
+            items.update(self.names[k] for k in np.unique(np.searchsorted(self.first, found, "right") - 1).tolist())
+        return joined(spans), items - {None}
+
+
+#: Tables of the blocks that this Python worker searched last.
+_ITEMS: dict[str, Items] = {}
+
+
+def _items(block, window: int) -> Items:
+    """Of a broadcast ``(name, items)``; compiled once a worker."""
+    name, items = block.value
+    if (found := _ITEMS.get(name)) is None:
+        while len(_ITEMS) >= KEPT_BLOCKS:
+            _ITEMS.pop(next(iter(_ITEMS)))
+        found = _ITEMS[name] = Items(items, window)
+    return found
 
 
 def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -132,16 +200,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("th"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, th long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<start:int,end:int>>, items array<string>"
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item, item_text, block_bytes)]
+    blocks = [spark.sparkContext.broadcast((uuid.uuid4().hex, b)) for b in _blocks(benchmark, item, item_text, block_bytes)]
 
     def searched(block) -> DataFrame:
         def run(batches):
-            searchers = compile_items(block.value, window)
+            find = _items(block, window).find
             for batch in batches:
                 out = []
                 for t in batch.column(1):
                     words = words_of(t.as_py())
-                    spans, items = find(searchers, words)
+                    spans, items = find(words)
                     out.append((len(words), sum(b - a for a, b in spans), len(items), _digest(items), [{"start": a, "end": b} for a, b in spans], sorted(map(str, items))))
                 n, hit, k, digest, spans, items = zip(*out) if out else ([],) * 6
                 yield pa.RecordBatch.from_arrays(
@@ -201,14 +269,14 @@ def _merged(rows: DataFrame, searched, blocks) -> DataFrame:
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without any occurrence, with all their columns unchanged."""
     spark, columns = docs.sparkSession, docs.columns
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text", block_bytes)]
+    blocks = [spark.sparkContext.broadcast((uuid.uuid4().hex, b)) for b in _blocks(benchmark, "item_id", "text", block_bytes)]
     at = columns.index(text)
     for block in blocks:
 
         def run(batches, block=block):
-            searchers = compile_items(block.value)
+            find = _items(block, WINDOW).find
             for batch in batches:
-                keep = [not any(next(s.search(words), None) for s in searchers) for words in (words_of(t.as_py()) for t in batch.column(at).cast(pa.binary()))]
+                keep = [not find(words_of(t.as_py()))[0] for t in batch.column(at).cast(pa.binary())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
@@ -231,7 +299,7 @@ o AS (
     SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(ws) >= n)),
 h AS (SELECT rid, item_id, i, n FROM o JOIN p USING (n, g)),
 hw AS (SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS w FROM h) GROUP BY rid),
-hi AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY rid)
+hi AS (SELECT rid, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)"""

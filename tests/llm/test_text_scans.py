@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -26,10 +27,33 @@ def brute(text, items):
                 if w[i : i + n] == p[a : a + n]:
                     hit |= set(range(i, i + n))
                     found.add(item)
-    names = sorted(map(str, found))
+    names = sorted(map(str, found - {None}))
     return len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)
 
 
+def test_search_tables_are_small_and_exact():
+    """Windows of a large item set, many of which end in the same words."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(3000)] + ["of", "the"] * 1500
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 400))).encode()) for k in range(1000)]
+    found = decontaminate.Items(items)
+    windows = sum(len(s.starts) for s in found.searchers)
+    size = sum(x.nbytes for s in found.searchers for x in (s.keys, s.shift, s.place, s.starts))
+    assert size < 32 * windows
+    known = {}
+    for k, t in items:
+        w = t.decode().split()
+        n = min(10, len(w))
+        for a in range(len(w) - n + 1):
+            known.setdefault(tuple(w[a : a + n]), set()).add(k)
+    for _ in range(300):
+        own = items[rng.randrange(1000)][1].decode().split()
+        w = [rng.choice(vocabulary) for _ in range(30)] + own[rng.randint(0, 20) : rng.randint(21, 60)] + [rng.choice([*vocabulary, "never"]) for _ in range(30)]
+        want = {k for n in range(1, 11) for a in range(len(w) - n + 1) for k in known.get(tuple(w[a : a + n]), ())}
+        spans, got = found.find([x.encode() for x in w])
+        assert got == want and bool(spans) == bool(want)
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = ["a", "the", "of", "Éa", "x1", "ünd"]
@@ -150,30 +174,6 @@ def test_notices():
     assert read("") == read("nothing here") == []
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the\nSoftware without restriction"
     assert read(wrapped)[0][0] == "MIT"
-
-
-def brute_licence(path, own, files):
-    """Nearest licence file at or above the path's directory."""
-    if path is None:
-        return None
-    parts = [x for x in path.split("/")[:-1] if x]
-    for k in range(len(parts), -1, -1):
-        at = parts[:k]
-        held = [(s, o) for p, o, s in files if p is not None and o and re.search(r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$", p) and [x for x in p.split("/")[:-1] if x] == at]
-        if held:
-            return min((o == license_scan.WEAK, -s, o) for s, o in held)[2]
-    return None
-
-
-def test_inheritance_against_brute_force(spark):
-    rng = random.Random(8)
-    notice = {"MIT": "Released under the MIT License.", "Apache": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3."}
-    rows = [(-1, None, "prose", 1), (-2, "top.txt", None, 1), (-3, "/abs//a/x.txt", "", 1), (-4, "LICENSES/x", notice["MIT"], 1)]
-    for i in range(250):
-        depth = rng.randint(0, 4)
-        folder = "/".join(rng.choice("ab") for _ in range(depth))
-        name = rng.choice(["f.py", "g.txt", "LICENSE", "COPYING.md", "licence-x"]) if rng.random() < 0.15 else f"{i}.py"
-        own = rng.choice(list(notice)) if rng.random() < 0.12 else None
     far = "Copyright 2020 A\n" + "\n" * 40 + wrapped.replace(" ", "\n")  # a notice of over 20 lines
     assert read(far)[0][0] == "MIT"
 
@@ -212,8 +212,33 @@ def test_licence_files_against_brute_force():
             best, run = max((round(cosine("\n".join(lines[at:n]), x), 9), n) for n in range(at + 1, len(lines) + 1) for _, x in license_scan.TEMPLATES)
             assert abs(best - score) < 1e-8
             assert max((round(cosine("\n".join(lines[at:run]), x), 9), len(x), y) for y, x in license_scan.TEMPLATES)[2] == got
+
+
+def brute_licence(path, own, files):
+    """Nearest licence file at or above the path's directory."""
+    if path is None:
+        return None
+    parts = [x for x in path.split("/")[:-1] if x]
+    for k in range(len(parts), -1, -1):
+        at = parts[:k]
+        held = [(s, o) for p, o, s in files if p is not None and o and re.search(r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$", p) and [x for x in p.split("/")[:-1] if x] == at]
+        if held:
+            return min((o == license_scan.WEAK, -s, o) for s, o in held)[2]
+    return None
+
+
+def test_inheritance_against_brute_force(spark):
+    rng = random.Random(8)
+    notice = {"MIT": "Released under the MIT License.", "Apache": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3."}
+    rows = [(-1, None, "prose", 1), (-2, "top.txt", None, 1), (-3, "/abs//a/x.txt", "", 1), (-4, "LICENSES/x", notice["MIT"], 1)]
+    for i in range(250):
+        depth = rng.randint(0, 4)
+        folder = "/".join(rng.choice("ab") for _ in range(depth))
+        name = rng.choice(["f.py", "g.txt", "LICENSE", "COPYING.md", "licence-x"]) if rng.random() < 0.15 else f"{i}.py"
+        own = rng.choice(list(notice)) if rng.random() < 0.12 else None
         rows.append((i, f"{folder}/{name}" if folder else name, (notice[own] + "\n" if own else "") + "some words", 1))
     rows.append(rows[-1])
+    rows += [(900, "tie/LICENSE", notice["MIT"], 1), (901, "tie/COPYING", "Licensed under CC BY 4.0.", 1), (902, "tie/x.py", "words", 1), (903, "tie/NOTICE", "All rights reserved.", 1)]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string, licence long")
     got = license_scan.scan(files).collect()
     assert len(got) == len(rows)
@@ -228,4 +253,3 @@ def test_licence_files_against_brute_force():
         assert r["licence"] == want and r["own"] == mine, r
         assert r["source"] == ("own" if mine else "inherited" if want else "none")
     assert license_scan.scan(files.where(F.lit(False))).count() == 0
-    rows += [(900, "tie/LICENSE", notice["MIT"], 1), (901, "tie/COPYING", "Licensed under CC BY 4.0.", 1), (902, "tie/x.py", "words", 1), (903, "tie/NOTICE", "All rights reserved.", 1)]
