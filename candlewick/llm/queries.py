@@ -82,6 +82,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, pages.select("page_id", "url").join(marks, "page_id"))
 
 
+ORACLE_SQL["op5_url_filter"] = url_filter.oracle()
+
+
 @query
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages"))

@@ -6,12 +6,14 @@ has neither. A listed rule fits its host and all subdomains if the path starts
 with the rule's; the longest fitting rule decides.
 
 For the rest, labelled urls become sets of tokens (scheme, host labels, path
-parts, query names; a token that more than ``MAX_SHARE`` of them hold says
-nothing and is left out) with a mark for bad ones. FP-growth finds the sets that
-at least ``MIN_COUNT`` of them hold; a rule "tokens, so bad" stays if its
-confidence, less two standard errors, reaches ``MIN_CONFIDENCE`` and no part of
-its tokens does as well. Every url is looked up in an inverted index from each rule's
-rarest token, and matches if it holds all the rule's tokens; then it is blocked.
+parts, query names) with a mark for bad ones. Tokens that stand on the very same
+urls are one item, so that a repeated url is mined as few items and not as all
+subsets of its tokens; a token that all of them hold tells nothing and goes.
+FP-growth finds the sets of items that at least ``MIN_COUNT`` of the urls hold; a
+rule "items, so bad" stays if its confidence, less two standard errors, reaches
+``MIN_CONFIDENCE`` and no part of its items does as well. Every url is looked up
+in an inverted index from the tokens of each rule's rarest item, and matches if it
+holds a token of each item, as each of them says the same; then it is blocked.
 
 Without labelled urls, or without rules, the rest is allowed. Rows are judged by
 their url, so repeated rows get one verdict. Only built-in expressions and
@@ -36,7 +38,6 @@ RULES = (
 )
 MIN_COUNT = 12
 MIN_CONFIDENCE = 0.5
-MAX_SHARE = 0.5
 BAD = "label:bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,16 +73,24 @@ def tokens(url: Column) -> Column:
 
 
 def mined(labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules from labelled urls: ``rule_id, tokens, anchor, confidence, support_count``."""
+    """Rules from labelled urls: ``rule_id, items, anchors, confidence, support_count``.
+
+    ``items``: for each item its tokens; ``anchors``: the tokens of the rarest one.
+    """
     spark = labelled.sparkSession
     rows = written(labelled.select(F.monotonically_increasing_id().alias("id"), tokens(F.col(url)).alias("tokens"), F.col(bad).alias("bad")).where("bad IS NOT NULL"), "labelled")
     n = rows.count()
     if not n:
-        return spark.range(0).selectExpr("id AS rule_id", "array('') AS tokens", "'' AS anchor", "1D AS confidence", "1D AS support_count")
-    # A token of a rule stands on at least ``min_count`` bad urls, as the whole rule does.
-    shares = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("b")).where(F.col("b") >= min_count).drop("b")
-    useful = rows.select("id", F.explode("tokens").alias("token")).join(shares.where(F.col("n") <= MAX_SHARE * n), "token")
-    sets = useful.groupBy("id").agg(F.collect_list("token").alias("t")).join(rows.select("id", "bad"), "id")
+        return spark.range(0).selectExpr("id AS rule_id", "array(array('')) AS items", "array('') AS anchors", "1D AS confidence", "1D AS support_count")
+    spread = rows.select("id", F.explode("tokens").alias("token"), "bad")
+    # A token of a rule stands on at least ``min_count`` bad urls, as the whole rule does. Two hashes tell the urls of a token.
+    per = spread.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("b"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")
+    )
+    per = per.where((F.col("b") >= min_count) & (F.col("n") < n)).groupBy("n", "x", "y")
+    # Tokens of one item stand together in a url, which bounds their list.
+    items = written(per.agg(F.array_sort(F.collect_list("token")).alias("alike")).select("n", F.element_at("alike", 1).alias("token"), "alike"), "items")
+    sets = spread.join(items.select("token"), "token").groupBy("id").agg(F.collect_list("token").alias("t")).join(rows.select("id", "bad"), "id")
     sets = sets.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
     sets = written(sets, "sets")
     n = max(sets.count(), 1)  # what FP-growth's shares refer to
@@ -95,8 +104,9 @@ def mined(labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: in
     spread = rules.select("tokens", "confidence", F.explode("tokens").alias("first")).join(part, "first")
     covered = spread.where((F.size("p") < F.size("tokens")) & (F.size(F.array_except("p", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))).select("tokens")
     rules = rules.join(covered.distinct(), "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
-    rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(shares, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("a"))
-    return written(rules.join(rare, "rule_id").select("rule_id", "tokens", F.col("a.token").alias("anchor"), "confidence", "support_count"), "index")
+    named = rules.select("rule_id", F.explode("tokens").alias("token")).join(items, "token")
+    named = named.groupBy("rule_id").agg(F.array_sort(F.collect_list("alike")).alias("items"), F.min(F.struct("n", "token", "alike")).alias("a"))
+    return written(rules.join(named, "rule_id").select("rule_id", "items", F.col("a.alike").alias("anchors"), "confidence", "support_count"), "index")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,7 +116,8 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     only if that is small, else shuffled by token, where hot tokens may be split.
     """
     posted = urls.select("u", tokens(F.col("u")).alias("own")).select("u", "own", F.explode("own").alias("anchor"))
-    hits = posted.join(rules.select("anchor", "tokens"), "anchor").where(F.size(F.array_except("tokens", "own")) == 0)
+    index = rules.select(F.explode("anchors").alias("anchor"), "items")
+    hits = posted.join(index, "anchor").where(F.forall("items", lambda alike: F.arrays_overlap(alike, "own")))
     return hits.select("u").distinct()
 
 
@@ -124,3 +135,19 @@ def judged(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str
         blocked = F.col("hit").isNotNull()
     verdict = F.coalesce(F.col("listed.verdict"), F.when(blocked, "block").otherwise("allow"))
     return p.select(F.col("key").alias(key), "host", "path", F.col("listed.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def oracle(rules=RULES) -> str:
+    """DuckDB SQL of ``judged`` over ``pages`` where no rule is mined, as in the given tables: their labels do not follow the urls."""
+    rows = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    return f"""
+WITH r AS (SELECT * FROM (VALUES {rows}) AS t(verdict, h, p)),
+u AS (
+  SELECT row_number() OVER () AS rid, page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+b AS (
+  SELECT rid, max_by(h || p, length(h) + length(p)) AS rule, max_by(verdict, length(h) + length(p)) AS verdict
+  FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN b USING (rid)"""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -149,8 +150,8 @@ def test_url_association_rules(spark):
         bad = host == "two" and section == "play" or rng.random() < 0.05
         rows.append((f"https://{host}.org/{section}/{i}{q}", bad))
     labelled = spark.createDataFrame(rows + [("https://n.org/1", None), (None, True)], "url string, bad boolean")
-    rules = [(set(r["tokens"]), r["confidence"], r["anchor"]) for r in url_filter.mined(labelled).collect()]
-    assert [r[0] for r in rules] == [{"h:two", "p:play"}] and rules[0][2] in rules[0][0]
+    rules = [(r["items"], r["confidence"], r["anchors"]) for r in url_filter.mined(labelled).collect()]
+    assert [r[0] for r in rules] == [[["h:two"], ["p:play"]]] and rules[0][2] in rules[0][0]
     with_both = [b for u, b in rows if {"h:two", "p:play"} <= tokens(u)]
     assert abs(rules[0][1] - sum(with_both) / len(with_both)) < 1e-9
     pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
@@ -161,5 +162,32 @@ def test_url_association_rules(spark):
 def test_url_rules_need_as_many_pages_at_every_size(spark):
     rows = [(f"https://site{i % 5000}.org/{i}", False) for i in range(30_000)] + [(f"https://rare.net/{i}", True) for i in range(12)]
     rules = url_filter.mined(spark.createDataFrame(rows, "url string, bad boolean")).collect()
-    assert {"h:rare"} in [set(r["tokens"]) for r in rules]
+    assert [r["items"] for r in rules] == [[["h:net", "h:rare"]]]  # both say the same
     assert {round(r["support_count"]) for r in rules} == {12}
+
+
+def test_url_rules_by_brute_force(spark):
+    """Every set of up to three tokens is tried; a repeated url of 40 tokens is one item beside the rest."""
+    rng = random.Random(9)
+    long = "https://spam.org/" + "/".join(f"part{k}" for k in range(38))
+    rows = [(f"https://{rng.choice('ab')}.com/{rng.choice('xyz')}/{rng.choice('pq')}/{i}", False) for i in range(400)]
+    rows = [(u, "a.com/x" in u and rng.random() < 0.95 or "/y/q" in u and rng.random() < 0.9 or rng.random() < 0.02) for u, _ in rows] + [(long, True)] * 1000
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    got = url_filter.mined(labelled).collect()
+    by, of_bad = (Counter(t for u, b in rows if b or k for t in tokens(u)) for k in (1, 0))
+    usable = sorted(t for t in by if by[t] < len(rows) and of_bad[t] >= url_filter.MIN_COUNT and not t.startswith("p:part") and t not in ("h:spam", "h:org"))
+    sure = {}
+    for k in (1, 2, 3):
+        for ts in itertools.combinations(usable, k):
+            held = [b for u, b in rows if tokens(u).issuperset(ts)]
+            if sum(held) >= url_filter.MIN_COUNT:
+                c = sum(held) / len(held)
+                if c - 2 * (c * (1 - c) / len(held)) ** 0.5 >= url_filter.MIN_CONFIDENCE:
+                    sure[ts] = c
+    want = {ts for ts, c in sure.items() if not any(set(p) < set(ts) and sure[p] >= c for p in sure)}
+    spam = [r for r in got if ["h:spam"] == [t for x in r["items"] for t in x if t.startswith("h:s")]]
+    assert len(spam) == 1 and len(spam[0]["items"]) == 1 and len(spam[0]["items"][0]) == 40  # and h:org
+    rest = [r["items"] for r in got if r is not spam[0]]
+    assert sorted(tuple(sorted(x[0] for x in items)) for items in rest) == sorted(want) and want
+    pages = spark.createDataFrame([(0, "http://y.org/a"), (1, "http://a.info/x"), (2, "http://z.net/part7")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, labelled).collect()} == {0: "block", 1: "block", 2: "block"}
