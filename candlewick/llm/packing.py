@@ -90,11 +90,12 @@ class ChunkTokenizer:
             self._restart()
         mark = c[-1] if c[-1] in ".," else ""
         word = c[:-1] if mark else c
-        # Beyond Latin letters, folding may depend on neighbours.
-        if not word or not word[-1].isalpha() or not (word.isascii() or max(word) < "\u0250"):
+        low = word.lower()
+        # Beyond Latin letters, folding may depend on neighbours; some letters fold to several characters, and a mark may be the last.
+        if not word or len(low) != len(word) or not low[-1].isalpha() or not (word.isascii() or max(word) < "\u0250"):
             known[c] = ids = self._encoded(c)
             return ids
-        word = word.lower()
+        word = low
         ids = known.get(word)
         if ids is None:
             if word.isalpha() and word == word.lower():

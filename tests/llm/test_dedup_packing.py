@@ -310,6 +310,21 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
         else:
             assert packed_well(got, rows, packing.CAPACITY) < 0.2
             break
+def test_ids_of_odd_letters():
+    """100,000 strings of letters that change with case, carry marks or come decomposed."""
+    rng = random.Random(22)
+    own, t = packing.ChunkTokenizer(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    latin = [chr(c) for c in range(0x20, 0x250)]
+    marks = [chr(c) for c in range(0x300, 0x330)] + list("İıŉǰßſŁłǅǆΣσςΐµK\u212aÅ\u1e9eﬁ中\u200d\u00ad\u2028ё")
+    pick = lambda: rng.choice(rng.choice((latin, latin, marks, ".,'abcIXÉéİ")))
+    texts = ["".join(pick() for _ in range(rng.randint(1, 7))) + rng.choice(("", ".", ",", ".,")) for _ in range(100_000)]
+    texts += ["İ.", "İ,", "aİ.", "İ", "éİ,x", "İstanbul, İ. x"]
+    for at in range(0, len(texts), 10_000):
+        part = texts[at : at + 10_000]
+        for text, got, want in zip(part, own.ids(part), t.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
         assert now.columns == names
         assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(rows), name
         assert all(r["n_chars"] == len(r["text"]) for r in got) or name != "repeats"
