@@ -5,9 +5,12 @@ slot are summed, and a versioned map says which shard owns each slot. A new map
 is the old one edited: ``rebalanced`` moves as few slots as even shards allow.
 
 The law is ``bytes``: shards differ by less than a slot or so. A record's size
-is its UTF-8 bytes plus one; null text: no bytes. Repeated rows count each and
-get positions of their own; a null key is hashed like any other. An empty table
-gives a map all the same. Only the named columns are read.
+is its UTF-8 bytes plus one; null text: no bytes. Key and text together pick the
+slot, so that a group of equal texts, which may hold a third of all rows, is
+dealt out over all slots and shards; groups are not kept together. Rows equal in
+key and text share a slot, count each and get places of their own; a null key is
+hashed like any other. An empty table gives a map all the same. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -38,6 +41,11 @@ class SlotMap:
         rows = [(s, o, self.n_shards) for s, o in enumerate(self.owner)]
         spark.createDataFrame(rows, "slot int, shard int, n_shards int").coalesce(1).write.mode("error").parquet(f"{path}/version={self.version}")
 
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*")))
+
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The given version, else the latest."""
@@ -128,18 +136,10 @@ def placed(rows: DataFrame, owners: SlotMap, count: list[int]) -> DataFrame:
 
 
 def sharded(docs: DataFrame, store: str, n_shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Shard of each row by the latest map in ``store``, which is rebalanced or begun first."""
-    spark = docs.sparkSession
-    rows = records(docs, key, text)
-    size, count = slot_totals(rows)
-    assigned(size, n_shards).save(spark, store)
-    return placed(rows, SlotMap.load(spark, store), count).withColumnRenamed("key", key)
-
-
-def resharded(docs: DataFrame, store: str, n_shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """As ``sharded``, by the latest stored map edited to ``n_shards`` even shards."""
+    """Shard of each row by the next map of ``store``: its latest one edited to ``n_shards`` even shards, or a first one."""
     spark = docs.sparkSession
     rows = records(docs, key, text)
     size, count = slot_totals(rows)
-    rebalanced(SlotMap.load(spark, store), size, n_shards).save(spark, store)
-    return placed(rows, SlotMap.load(spark, store), count).withColumnRenamed("key", key)
+    owners = rebalanced(SlotMap.load(spark, store), size, n_shards) if SlotMap.exists(spark, store) else assigned(size, n_shards)
+    owners.save(spark, store)
+    return placed(rows, owners, count).withColumnRenamed("key", key)
