@@ -8,13 +8,16 @@ Texts of few distinct words have proposals too dense or none: a chunk of over
 ``WIDE`` bytes is cut at the least of a second hash in the next ``WINDOW`` bytes, so
 that cuts in equal passages soon fall together, whatever stands before them.
 Chunks are compared by 64-bit digest. The first place of a chunk, by (document,
-position), is kept; later ones are marked, and each run of marked chunks with at
-least ``MIN_WORDS`` whole words is taken out of its text. Shorter runs stay, as
-common phrases repeat by chance; a run of that length spans several chunks, so
-that one digest met by chance takes nothing out.
+position), is kept; later ones are marked, and touching marked chunks are runs. A
+run's ends lie in chunks that the passage shares with other text, so each end is
+moved out as far as the bytes are those around its first place, at most one
+chunk. Runs of ``MIN_WORDS`` whole words or more are then taken out. Shorter ones
+stay, as common phrases repeat by chance. Runs of under ``SEED`` bytes are not
+looked at: their passage has hardly so many words.
 
-Null and empty texts stay as they are. Rows that share an id count as one
-document, so repeated rows stay and keep the same text; a null id is the first. Ties cannot occur, as a
+A document is an id and a text: rows equal in both count as one, so repeated rows
+stay and keep the same text; rows that share an id only are ordered by a hash of
+their text; a null id is the first. Null and empty texts stay as they are. Ties cannot occur, as a
 place holds one chunk. Long texts are cut whole, with no bound on their chunks.
 Further columns pass through, whatever their names.
 """
@@ -39,6 +42,7 @@ WINDOW = 48
 #: No chunk is longer, whatever the text.
 LONGEST = 1024
 MIN_WORDS = 25
+SEED = 48
 SPACES = b" \t\n\v\f\r"
 
 
@@ -81,15 +85,15 @@ def cuts(text: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per chunk: ``key``, first and end byte, digest."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    """One row per chunk: ``key``, ``th`` (Spark's hash of the text), first and end byte, digest."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             at, start, end, h = [], [], [], []
-            for k, t in enumerate(batch.column(1)):
+            for k, t in enumerate(batch.column(2)):
                 t = t.as_py()
                 if not t:
                     continue
@@ -99,16 +103,17 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 start += s
                 end += e
                 h += [digest(t[x:y]) for x, y in zip(s, e)]
+            of = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))],
-                ["key", "start", "end", "h"],
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))],
+                ["key", "th", "start", "end", "h"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, start int, end int, h long")
+    return rows.mapInArrow(run, f"key {kind}, th long, start int, end int, h long")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The chunks that an earlier place holds as well: ``key, start, end, h``.
+    """The chunks that an earlier place holds as well: ``key, th, start, end`` and that place, ``k1, t1, s1``.
 
     Digests are counted by an aggregation that combines before it shuffles. The
     joins back are ones that Spark may split where a chunk is hot, as each digest
@@ -116,24 +121,91 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     c = chunks(docs, key, text)
     twice = written(c.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    places = written(c.join(twice, "h").select("h", "key", "start", "end"), "places")
-    firsts = places.groupBy("h").agg(F.min(F.struct("key", "start")).alias("first"))
+    places = written(c.join(twice, "h").select("h", "key", "th", "start", "end"), "places")
+    firsts = places.groupBy("h").agg(F.min(F.struct("key", "th", "start")).alias("first"))
     # Written, so that the join has an exchange of its own, which Spark may split, and not the aggregation's.
-    firsts = written(firsts.select("h", F.col("first.key").alias("k1"), F.col("first.start").alias("s1")), "firsts")
-    later = ~(F.col("key").eqNullSafe(F.col("k1")) & (F.col("start") == F.col("s1")))
-    return places.join(firsts, "h").where(later).select("key", "start", "end", "h")
+    firsts = written(firsts.select("h", F.col("first.key").alias("k1"), F.col("first.th").alias("t1"), F.col("first.start").alias("s1")), "firsts")
+    later = ~(F.col("key").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("t1")) & (F.col("start") == F.col("s1")))
+    return places.join(firsts, "h").where(later).select("key", "th", "start", "end", "k1", "t1", "s1")
 
 
-def _runs(text: bytes, spans: list[tuple[int, int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Touching spans joined and drawn in to whole words; those with enough of them.
+def edges(found: DataFrame) -> DataFrame:
+    """Both ends of each run of touching chunks of ``SEED`` bytes or more.
 
-    A span counts if its digest is that of its bytes here: rows that share an id
-    may differ in their texts.
+    ``key, th, a, b`` (the run), ``right`` (which end), and where the bytes beyond
+    it are to be looked up: before (left) or from (right) byte ``at`` of ``k1, t1``.
     """
+    # A document's chunks: bounded by its text.
+    per = found.groupBy("key", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "k1", "t1", "s1"))).alias("found"))
+    schema = found.schema
+    key = schema["key"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            of, a, b, right, first, k1, t1, at = [], [], [], [], [], [], [], []
+            lists = batch.column(2)
+            flat = lists.flatten()
+            start, end, s1 = (np.asarray(flat.field(k), np.int64) for k in (0, 1, 4))
+            ends = np.cumsum(np.asarray(lists.value_lengths(), np.int64))
+            for row, stop in enumerate(ends.tolist()):
+                low = int(ends[row - 1]) if row else 0
+                cut = np.flatnonzero(start[low + 1 : stop] != end[low : stop - 1]) + low + 1
+                for x, y in zip([low, *cut.tolist()], [*cut.tolist(), stop]):
+                    if end[y - 1] - start[x] >= SEED:
+                        of += [row, row]
+                        a += [start[x]] * 2
+                        b += [end[y - 1]] * 2
+                        right += [False, True]
+                        first += [x, y - 1]
+                        at += [s1[x], s1[y - 1] + end[y - 1] - start[y - 1]]
+            of, first = pa.array(of, pa.int64()), pa.array(first, pa.int64())
+            ints = [pa.array(np.array(x, np.int64)).cast(pa.int32()) for x in (a, b, at)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), ints[0], ints[1], pa.array(right, pa.bool_()), flat.field(2).take(first), flat.field(3).take(first), ints[2]],
+                ["key", "th", "a", "b", "right", "k1", "t1", "at"],
+            )
+
+    return per.mapInArrow(run, f"key {key}, th long, a int, b int, right boolean, k1 {key}, t1 long, at int")
+
+
+def contexts(docs: DataFrame, ends: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``k1, t1, at, right, bytes``: what stands before or from each place asked for, ``WIDE`` bytes at most."""
+    # The places of one document: at most two for each of its chunks.
+    asked = ends.select("k1", "t1", "at", "right").distinct().groupBy("k1", "t1").agg(F.collect_list(F.struct("at", "right")).alias("asked"))
+    asked = written(asked, "asked")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("text"))
+    rows = rows.join(asked, F.col("key").eqNullSafe(F.col("k1")) & (F.col("th") == F.col("t1"))).select("k1", "t1", "text", "asked")
+    kind = ends.schema["k1"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            of, at, right, out = [], [], [], []
+            for k, (t, places) in enumerate(zip(batch.column(2), batch.column(3))):
+                t, places = t.as_py(), places.as_py()
+                of += [k] * len(places)
+                at += [x["at"] for x in places]
+                right += [x["right"] for x in places]
+                out += [t[x["at"] : x["at"] + WIDE] if x["right"] else t[max(0, x["at"] - WIDE) : x["at"]] for x in places]
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(right, pa.bool_()), pa.array(out, pa.binary())], ["k1", "t1", "at", "right", "bytes"])
+
+    # Repeated rows give a place more than once.
+    return rows.mapInArrow(run, f"k1 {kind}, t1 long, at int, right boolean, bytes binary").groupBy("k1", "t1", "at", "right").agg(F.first("bytes").alias("bytes"))
+
+
+def runs_of(text: bytes, found: list[tuple[int, int, bytes, bytes]], min_words: int) -> list[tuple[int, int]]:
+    """Runs ``(a, b)`` moved out by the bytes that stood before and after their first places, joined where they
+    meet, drawn in to whole words; those with enough words."""
     out: list[list[int]] = []
-    for a, b, h in sorted(spans):
-        if xxhash.xxh3_64_intdigest(text[a:b]) != h & 0xFFFFFFFFFFFFFFFF:
-            continue
+    for a, b, before, after in sorted(found):
+        n = 0
+        while n < len(before) and n < a and text[a - 1 - n] == before[-1 - n]:
+            n += 1
+        a -= n
+        n, most = 0, min(len(after), len(text) - b)
+        while n < most and text[b + n] == after[n]:
+            n += 1
+        b += n
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -142,7 +214,7 @@ def _runs(text: bytes, spans: list[tuple[int, int, int]], min_words: int) -> lis
     for a, b in out:
         while 0 < a < b and text[a - 1] not in SPACES:
             a += 1
-        while a < b < len(text) and text[b - 1] not in SPACES:
+        while a < b < len(text) and text[b - 1] not in SPACES and text[b] not in SPACES:
             b -= 1
         if len(text[a:b].split()) >= min_words:
             runs.append((a, b))
@@ -164,10 +236,14 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with their columns, texts without later repeats, and ``__spans`` (bytes taken out of the old text)."""
     columns = docs.columns
-    found = repeats(docs, key, text)
-    # All repeats of one document: at most its own chunks.
-    per = written(found.groupBy("key").agg(F.collect_set(F.struct("start", "end", "h")).alias("__found")).withColumnRenamed("key", "__key"), "repeats")
-    joined = docs.join(per, F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left").select(*[docs[f"`{c}`"] for c in columns], "__found")
+    ends = written(edges(repeats(docs, key, text)), "edges")
+    around = written(contexts(docs, ends, key, text), "contexts")
+    same = F.col("k1").eqNullSafe(F.col("k2")) & (F.col("t1") == F.col("t2")) & (F.col("at") == F.col("at2")) & (F.col("right") == F.col("right2"))
+    known = ends.join(around.toDF("k2", "t2", "at2", "right2", "bytes"), same).select("key", "th", F.struct("a", "b", "right", "bytes").alias("end"))
+    # All runs of one document: bounded by its text.
+    per = written(known.groupBy(F.col("key").alias("__key"), F.col("th").alias("__th")).agg(F.collect_set("end").alias("__found")), "repeats")
+    joined = docs.join(per, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("__th")), "left")
+    joined = joined.select(*[docs[f"`{c}`"] for c in columns], "__found")
     at = columns.index(text)
     schema = joined.select(*[joined[f"`{c}`"] for c in columns], F.expr("CAST(null AS array<struct<start:int,end:int>>) AS __spans")).schema
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -177,7 +253,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
             texts, spans = [], []
             for t, f in zip(batch.column(at).cast(pa.binary()), batch.column(len(columns))):
                 t, f = t.as_py(), f.as_py()
-                runs = _runs(t, [(x["start"], x["end"], x["h"]) for x in f], min_words) if f and t else []
+                by: dict = {}
+                for x in f or ():
+                    by.setdefault((x["a"], x["b"]), {})[x["right"]] = x["bytes"]
+                runs = runs_of(t, [(*r, x.get(False, b""), x.get(True, b"")) for r, x in by.items()], min_words) if by else []
                 texts.append(without(t, runs) if runs else t)
                 spans.append([{"start": a, "end": b} for a, b in runs])
             arrays = list(batch.columns)
