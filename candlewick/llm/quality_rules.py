@@ -1,19 +1,25 @@
 """Quality rules: a threshold table compiled into one projection of built-in expressions.
 
 Words are maximal runs of characters other than space and ``\\t\\n\\v\\f\\r``; null
-and empty texts have none and fail the base rule. Long texts are read whole.
+and empty texts have none and fail the base rule. Long texts are read whole, and
+no threshold bounds the length from above: ratios judge a long text as any other.
+Distinct words are held against the root of the number of words, as their share
+falls with length in any prose. Repeated windows are found by sorting hashes of
+windows with their places and comparing the words of neighbours with equal
+hashes; a text where hashes meet by chance is counted by the windows themselves.
 Repeated rows are judged one by one, so each gets the same verdict. Only the key
 and text columns are read; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE = r"[\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -35,14 +41,14 @@ class Threshold:
 
 #: Metrics are ratios of the counts below; see ``RATIOS``.
 THRESHOLDS = (
-    Threshold("n_words", low=50, high=200_000),
+    Threshold("n_words", low=50),
     Threshold("mean_word_chars", low=2.0, high=14.0),
     Threshold("symbols_per_word", high=0.1),
     Threshold("shouts_per_word", high=0.2),
     Threshold("stop_word_share", low=0.01),
     Threshold("dup_line_share", high=0.6),
     Threshold("repeat_word_share", high=0.5),
-    Threshold("distinct_word_share", low=0.05),
+    Threshold("distinct_words_by_root", low=1.0),
     Threshold("ellipsis_line_share", high=0.3),
     Threshold("bullet_line_share", high=0.9),
 )
@@ -56,7 +62,7 @@ RATIOS = {
     "stop_word_share": "n_stop_words / greatest(n_words, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_word_share": "n_repeat_words / greatest(n_words, 1)",
-    "distinct_word_share": "n_distinct_words / greatest(least(n_words, 2000), 1)",
+    "distinct_words_by_root": "n_distinct_words / sqrt(greatest(n_words, 1))",
     "ellipsis_line_share": "n_ellipsis_lines / greatest(n_lines, 1)",
     "bullet_line_share": "n_bullet_lines / greatest(n_lines, 1)",
 }
@@ -71,56 +77,57 @@ def rejection(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> str:
     return " OR ".join(f"({p})" for p in parts) or "false"
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words that lie in a 3-word window which occurs at least twice in the text.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    Windows are sorted with their places, so that equal ones are neighbours; the
-    places of equal neighbours, three words wide, are counted once each.
-    """
-    n = F.size(words)
 
-    def window(i: Column) -> Column:
-        at = lambda k: F.element_at(words, (i + k).cast("int"))
-        return F.struct(F.concat_ws(" ", at(0), at(1), at(2)).alias("w"), i.cast("int").alias("i"))
+def _covered(places: Column) -> Column:
+    """How many words lie in the 3-word windows that begin at the places."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
 
-    return F.when(n >= 4, F.sort_array(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), window)))
+
+def _covered_by_words(words: Column) -> Column:
+    """Words in windows that occur at least twice, by sorting the windows themselves."""
+    window = lambda x, i: F.struct(F.concat_ws(" ", x, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.cast("long").alias("i"))
+    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    alike = lambda s: F.filter(s, lambda x, k: F.coalesce(x["w"] == F.get(s, k + 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(s, k - 1)["w"], F.lit(False)))
+    return _covered(_let(F.sort_array(F.transform(first, window)), lambda s: F.transform(alike(s), lambda x: x["i"])))
 
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and the counts of each text, as one chain of projections."""
     d = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    body = F.regexp_replace("__t", rf"^{SPACE}|{SPACE}$", "")
     d = d.select(
         "__key",
-        F.when(F.length(body) > 0, F.split(body, SPACE)).otherwise(F.array().cast("array<string>")).alias("__w"),
-        F.length(F.translate("__t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length("__t") - F.length(F.translate("__t", "!", ""))).cast("long").alias("n_shouts"),
+        F.array_remove(F.split(F.regexp_replace("__t", SPACE, " "), " "), "").alias("__w"),
+        F.regexp_count("__t", F.lit(f"[{re.escape(SYMBOLS)}]")).cast("long").alias("n_symbols"),
+        (F.length("__t") - F.length(F.replace("__t", F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
         F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"),
     )
-    d = d.select("*", _repeat_words(F.col("__w")).alias("__s"), F.array_distinct("__w").alias("__u"))
-    # Equal neighbours of the sorted windows: the places of the former and of the latter.
-    s = F.col("__s")
-    m = F.size(s)
-    pairs = F.zip_with(
-        F.slice(s, F.lit(1), F.greatest(m - 1, F.lit(0))),
-        F.slice(s, F.lit(2), F.greatest(m - 1, F.lit(0))),
-        lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])),
-    )
-    d = d.select("*", F.when(m >= 2, F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))).alias("__p"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("__p", lambda i: F.array(i, i + 1, i + 2)))))
+    # Low bits of a window's number are its place, as many as the number of words has; the others are its hash.
+    d = d.select("*", F.transform("__w", lambda x: F.xxhash64(x)).alias("__h"), F.length(F.bin(F.size("__w"))).alias("__b"))
+    hashed = lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get("__h", i + 1), F.get("__h", i + 2)), F.col("__b")).bitwiseOR(i.cast("long"))
+    first = F.slice("__h", F.lit(1), F.greatest(F.size("__h") - 2, F.lit(0)))
+    d = d.select("*", F.sort_array(F.transform(first, hashed)).alias("__s"))
+    same = lambda x, y: F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("__b")) == 0, F.lit(False))
+    d = d.select("*", F.filter("__s", lambda x, k: same(x, F.get("__s", k + 1)) | same(x, F.get("__s", k - 1))).alias("__q"))
+    place = lambda x: (x - F.call_function("shiftleft", F.call_function("shiftright", x, F.col("__b")), F.col("__b"))).cast("int")
+    differ = lambda a, b: F.exists(F.array(*map(F.lit, range(3))), lambda k: F.get("__w", a + k) != F.get("__w", b + k))
+    clash = F.exists(F.transform("__q", lambda x, k: same(x, F.get("__q", k + 1)) & differ(place(x), place(F.coalesce(F.get("__q", k + 1), x)))), lambda x: x)
+    repeated = F.when(F.size("__q") == 0, 0).when(clash, _covered_by_words(F.col("__w"))).otherwise(_covered(F.transform("__q", place)))
     counts = F.struct(
         F.col("__key").alias(key),
         F.size("__w").cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         "n_shouts",
         F.size(F.filter("__w", lambda w: F.lower(w).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
         F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("__p").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.size("__u").cast("long").alias("n_distinct_words"),
-        F.size(F.filter("__l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
+        repeated.cast("long").alias("n_repeat_words"),
+        F.size(F.array_distinct("__w")).cast("long").alias("n_distinct_words"),
+        F.size(F.filter("__l", lambda x: F.rtrim(x, F.lit(" \t\f\r")).endswith("...") | F.rtrim(x, F.lit(" \t\f\r")).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter("__l", lambda x: x.rlike(r"^\s*[•‣*-]\s"))).cast("long").alias("n_bullet_lines"),
     )
     # A generator, as a filter on the counts must not be pushed below the projections: it would compute each anew wherever it is named.
@@ -172,7 +179,7 @@ c AS (
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct_words,
-    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS BIGINT) AS n_ellipsis_lines,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\f\r]*$'))) AS BIGINT) AS n_ellipsis_lines,
     CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[•‣*-]\s'))) AS BIGINT) AS n_bullet_lines
   FROM w LEFT JOIN cov ON w.rid = cov.rid),
 j AS (SELECT *, {BASE_FAILED} AS base_failed, NOT ({BASE_FAILED}) AND NOT ({rejection(thresholds)}) AS kept FROM c)

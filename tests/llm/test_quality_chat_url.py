@@ -42,6 +42,15 @@ def test_counts_against_brute_force(spark, sf):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_repeats_by_the_windows_themselves(spark):
+    """The way taken where hashes meet by chance counts the same."""
+    rng = random.Random(3)
+    texts = ODD[1:-1] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    d = docs(spark, texts).select("doc_id", F.filter(F.split("text", "[ \\t\\n]"), lambda x: x != "").alias("w"))
+    got = {r["doc_id"]: r["n"] for r in d.select("doc_id", quality_rules._covered_by_words(F.col("w")).alias("n")).collect()}
+    assert got == {i: counted(t)[4] for i, t in enumerate(texts)}
+
+
 def test_kept_rows_keep_columns_and_repeats(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     d = d.unionByName(d.limit(20)).withColumn("__row", F.lit(1)).withColumn("__text", F.lit(2)).withColumn("kept", F.lit("x"))
