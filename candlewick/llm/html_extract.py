@@ -1,8 +1,10 @@
 """Main text of web pages, with the host's template taken out.
 
 A page is read into a flat list of events with well-nested elements, whatever
-the markup. Elements that are never part of an article go by tag, role or name
-(a form or a named element that wraps most of a page without any other article stays).
+the markup. Elements that are never part of an article go by tag or role, and boxes
+go by name, never headings, paragraphs or other text blocks; inside an article a
+box goes by a name that says nothing else, as ids made from headings do not
+(a form or a named box that wraps most of a page without any other article stays).
 What is left of the page's article (its ``<article>`` elements, else ``<main>``,
 else the body) may still hold parts of the site's template. So each element of
 the whole page, text blocks included, is hashed with all below it, hashes are
@@ -66,6 +68,11 @@ GONE_NAMES = frozenset(
 )
 #: These too, outside the article.
 GONE_OUTSIDE = frozenset("header head top bottom copyright search".split())
+#: What may stand beside such words in a name, if it is to go inside an article.
+PLAIN_NAMES = frozenset(
+    "area article bar block bottom box button buttons container content entry form group header inline inner item items left link links list main outer page "
+    "panel post right row section site slot title top unit wrap wrapper".split()
+)
 #: Opening one of the former closes an open one of the latter, up to a border.
 CLOSES = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
@@ -110,9 +117,9 @@ class Page:
         self.inside: list[bool] = []
 
 
-def _names(attributes: str) -> tuple[set[str], str, bool]:
-    """Parts of class and id, role, and whether the element is hidden."""
-    parts: set[str] = set()
+def _names(attributes: str) -> tuple[list[set[str]], str, bool]:
+    """The words of each class name and of the id, role, and whether the element is hidden."""
+    parts: list[set[str]] = []
     role, hidden = "", False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -123,7 +130,8 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
         elif name == "aria-hidden":
             hidden |= value.strip() == "true"
         else:
-            parts.update(_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()))
+            for word in (m[2] or m[3] or m[4] or "").split():
+                parts.append(set(_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", word).lower())))
     return parts, role, hidden
 
 
@@ -182,9 +190,15 @@ def parse(source: str) -> Page:
             low = attributes.lower()
             if "class" in low or "id" in low or "role" in low:
                 parts, role, hidden = _names(attributes)
-                if hidden or role in GONE_ROLES or tag == "article" and not parts.isdisjoint(("comment", "comments", "teaser", "related")):
+                every = set().union(*parts)
+                if hidden or role in GONE_ROLES or tag == "article" and not every.isdisjoint(("comment", "comments", "teaser", "related")):
                     drop = HARD
-                elif tag not in ROOTS and (not parts.isdisjoint(GONE_NAMES) or not held and not parts.isdisjoint(GONE_OUTSIDE)):
+                elif tag in ROOTS or tag in TEXT_BLOCKS:
+                    pass
+                elif held:
+                    if any(not x.isdisjoint(GONE_NAMES) and x <= GONE_NAMES | PLAIN_NAMES for x in parts):
+                        drop = SOFT
+                elif not every.isdisjoint(GONE_NAMES) or not every.isdisjoint(GONE_OUTSIDE):
                     drop = SOFT
         number = len(tags)
         tags.append(tag)

@@ -92,6 +92,14 @@ def test_article():
 
 def test_wrappers_around_the_article_stay():
     read = lambda h: html_extract.text_of(html_extract.parse(h))
+def test_text_of_an_article_does_not_go_by_its_name():
+    read = lambda h: html_extract.text_of(html_extract.parse(h))
+    assert read('<article><p>Body.</p><p class="notice">Of note.</p><h2 id="social">Social history</h2></article>') == "Body.\nOf note.\nSocial history"
+    assert read('<article><section id="respond-to-climate"><p>How to.</p></section><div id="widget-theory-of-change"><p>So.</p></div></article>') == "How to.\nSo."
+    assert read('<article><p>a</p><div class="post-comments x">c</div><div class="box adBox">b</div><ul class="share-buttons"><li>s</ul></article>') == "a"
+    assert read('<body><p class="notice">Of note.</p><div class="cookie-law-x">c</div><p>b</p></body>') == "Of note.\nb"
+
+
     long = "The story goes on and on, word after word. " * 3
     assert read(f"<body><form action=x><nav>m</nav><article><p>{long}</article></form></body>") == long.strip()
     assert read(f"<body><div class='page with-sidebar'><div id=menu>m</div><article><p>{long}</p></article><div class=sidebar>s</div></div></body>") == long.strip()
@@ -155,6 +163,42 @@ def test_template_of_a_part_of_a_large_host_goes(spark):
 
 def test_pages_against_plain_reading(spark, sf):
     import html
+def test_templates_of_all_hosts_against_brute_force(spark):
+    """Random trees of boxes and paragraphs on twelve hosts; recurring ones are counted over pages as plain tuples."""
+    rng = random.Random(17)
+    sentence = lambda n: " ".join(rng.choice(["sun", "moon", "star", "sky", "sea"]) + str(rng.randint(0, 99)) for _ in range(n))
+
+    def tree(depth):
+        if not depth or rng.random() < 0.5:
+            return ("p", (sentence(rng.randint(1, 12)),))
+        return (rng.choice(["div", "section", "ul"]), tuple(tree(depth - 1) for _ in range(rng.randint(1, 3))))
+
+    show = lambda t: t if isinstance(t, str) else f"<{t[0]}>{''.join(map(show, t[1]))}</{t[0]}>"
+    parts = lambda t: [] if isinstance(t, str) else [t, *(x for c in t[1] for x in parts(c))]
+    pages = {}
+    for host in range(12):
+        pool, n = [tree(3) for _ in range(12)], rng.choice([4, 20, 60, 160])
+        for k in range(n):
+            body = [tree(3) for _ in range(rng.randint(1, 4))] + [x for i, x in enumerate(pool) if rng.random() < 0.02 * (i + 1) ** 1.5]
+            rng.shuffle(body)
+            pages[host * 1000 + k] = body
+    rows = [(i, f"http://h{i // 1000}.org/{i}", f"<html><body>{''.join(map(show, b))}</body></html>") for i, b in pages.items()]
+    got = {r["page_id"]: r["text"] for r in html_extract.extracted(spark.createDataFrame(rows + rows[:40], "page_id long, url string, html string")).collect()}
+    counts, size = Counter(), Counter()
+    for i, b in pages.items():
+        size[i // 1000] += 1
+        counts.update({(i // 1000, x) for t in b for x in parts(t)})
+
+    def left(host, t):
+        n = counts[host, t]
+        if n >= 5 and (t[0] != "p" or n >= 0.2 * size[host] or n >= 30 and len(t[1][0].split()) >= 8):
+            return []
+        return [t[1][0]] if t[0] == "p" else [x for c in t[1] for x in left(host, c)]
+
+    assert got == {i: "\n".join(x for t in b for x in left(i // 1000, t)) for i, b in pages.items()}
+    assert sum(len(left(i // 1000, t)) == 0 for i, b in pages.items() for t in b) > 500
+
+
 
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()}
