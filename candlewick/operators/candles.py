@@ -2,52 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import SPAN, Running, running
+from ..functions.running import SPAN
 from ..functions.values import EXACT, minute_of
 from ..sources.workspace import written
 
 KEYS = ["exchange", "pair"]
 
 
+def _closes(windows: list[int], state: tuple[int | None, list[int]] = (None, [])) -> Iterator[tuple[int | None, list[int]]]:
+    """The newest window emitted and the open ones, newest first, after each arrival.
+
+    An arrival emits what is open and older than its own window. A late one, not
+    newer than the newest emitted, does nothing.
+    """
+    emitted, open_ = state[0], list(state[1])
+    for w in windows:
+        if emitted is None or w > emitted:
+            if open_ and open_[-1] < w:
+                while open_ and open_[-1] < w:
+                    last = open_.pop()  # from the oldest on: the last is the newest
+                emitted = last
+            if not open_ or open_[-1] != w:
+                open_.append(w)
+        yield emitted, open_
+
+
+def _spans(d: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and span of arrivals, what an empty state comes to: ``__e`` emitted, ``__o`` open, ``__x`` newest window."""
+    types = [f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys]
+
+    def end(key, rows):
+        rows = rows.sort_by("__s")
+        windows = rows.column("__w").to_pylist()
+        for emitted, open_ in _closes(windows):
+            pass
+        return pa.Table.from_pydict({**{k: [v.as_py()] for k, v in zip([*keys, "__span"], key)}, "__e": pa.array([emitted], pa.int64()), "__o": pa.array([open_], pa.list_(pa.int64())), "__x": pa.array([max(windows)], pa.int64())})
+
+    return d.groupBy(*keys, "__span").applyInArrow(end, f"{', '.join(types)}, __span long, __e long, __o array<long>, __x long")
+
+
+def _before(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The state that each span starts from, by folding the few spans of a key in order.
+
+    Windows left open that are older than a span's newest are emitted by it.
+    """
+    types = [f"`{k}` {spans.schema[k].dataType.simpleString()}" for k in keys]
+
+    def fold(key, rows):
+        rows = rows.sort_by("__span")
+        emitted, open_, states = None, [], []
+        for e, o, x in zip(*(rows.column(c).to_pylist() for c in ("__e", "__o", "__x"))):
+            states.append((emitted, open_))
+            emitted = max((v for v in (emitted, e, *(u for u in open_ if u < x)) if v is not None), default=None)
+            open_ = sorted({u for u in [*open_, *o] if emitted is None or u > emitted}, reverse=True)
+        return rows.select([*keys, "__span"]).append_column("__e", pa.array([x for x, _ in states], pa.int64())).append_column("__o", pa.array([x for _, x in states], pa.list_(pa.int64())))
+
+    return spans.groupBy(*keys).applyInArrow(fold, f"{', '.join(types)}, __span long, __e long, __o array<long>")
+
+
 def flag_late(trades: DataFrame, keys: list[str] = KEYS, seq: str = "ingest_seq", ts: str = "ts_exchange", width: str = "minute", span: int = SPAN) -> DataFrame:
     """Adds ``ts_open`` and ``late``: whether the trade's window was emitted before it came.
 
-    A trade emits all older windows open in its key, so a row is late if two
-    earlier rows, both in windows no older than its own, came in ascending order.
-    Below the previous running maximum P that is certain, at or above the maximum
-    M impossible. Between, only rows since M was reached matter (one epoch): per
-    epoch and window u, the first rise is the least arrival of a later window
-    after u was first seen, and a row is late if some u no older than its window
-    had its first rise before it. Epochs hold few windows, so that join is small.
-
-    Only key, arrival and window take part; both passes are written to the
-    workspace, so nothing is computed twice, and the late rows, which are few, are
-    joined back.
+    A trade emits all older windows open in its key, so that state is a short
+    list and is taken along arrival by arrival. A key's arrivals are cut into
+    spans: each is folded from an empty state, the few ends of a key are joined up
+    in order, and each span is then gone through from its real start. So a hot key
+    is as many tasks as it has spans, no task holds more than one span's arrivals
+    and windows, and the work is linear in the rows, whatever their order.
+
+    Only key, arrival and window take part, written to the workspace; the late
+    rows, which are few, are joined back.
     """
     whole = trades.withColumn("ts_open", minute_of(F.col(ts), width))
-    d = whole.select(*keys, F.col(seq).alias("__s"), "ts_open")
-    w = F.col("ts_open")
-    d = written(running(d, keys, "__s", span, __m=Running(w, "max")))
-    rises = F.col("__m").isNull() | (w > F.col("__m"))
-    risen = F.when(rises, 1).otherwise(0)
-    d = written(running(d, keys, "__s", span, __p=Running(F.when(rises, F.col("__m")), "max"), __e=Running(risen, "sum", inclusive=True)))
-    sure = F.coalesce(w <= F.col("__p"), F.lit(False))
-    live = d.where(~sure)
-    epoch = [*keys, "__e"]
-    seen = live.groupBy(*epoch, F.col("ts_open").alias("__u")).agg(F.min("__s").alias("__f"))
-    rise = (
-        live.join(seen, epoch)
-        .where((F.col("ts_open") > F.col("__u")) & (F.col("__s") > F.col("__f")))
-        .groupBy(*epoch, F.col("__u").alias("ts_open"))
-        .agg(F.min("__s").alias("__t"))
-    )
-    # Late from the first rise of any window no older than its own: of those that had one.
-    later = live.select(*epoch, "__s", w.alias("__w")).join(rise, epoch).where((F.col("ts_open") >= F.col("__w")) & (F.col("__t") < F.col("__s")))
-    late = d.where(sure).select(*keys, F.col("__s").alias(seq)).unionByName(later.select(*keys, F.col("__s").alias(seq)))
-    late = late.distinct().withColumn("late", F.lit(True))
+    window = F.unix_micros(F.col("ts_open").cast("timestamp"))
+    d = whole.select(*keys, F.col(seq).cast("long").alias("__s"), window.alias("__w"), F.floor(F.col(seq) / span).cast("long").alias("__span"))
+    d = written(d.where("__w IS NOT NULL"))
+    states = written(_before(_spans(d, keys), keys))
+    types = [f"`{k}` {d.schema[k].dataType.simpleString()}" for k in keys]
+
+    def flag(key, rows, state):
+        rows = rows.sort_by("__s")
+        emitted, open_ = state.column("__e")[0].as_py(), state.column("__o")[0].as_py()
+        late, before = [], emitted
+        for n, (w, (after, _)) in enumerate(zip(windows := rows.column("__w").to_pylist(), _closes(windows, (emitted, open_)))):
+            if before is not None and w <= before:
+                late.append(n)
+            before = after
+        return rows.select([*keys, "__s"]).take(pa.array(late, pa.int64()))
+
+    late = d.groupBy(*keys, "__span").cogroup(states.groupBy(*keys, "__span")).applyInArrow(flag, f"{', '.join(types)}, __s long")
+    late = late.withColumnRenamed("__s", seq).withColumn("late", F.lit(True))
     return whole.join(late, [*keys, seq], "left").select(*whole.columns, F.coalesce("late", F.lit(False)).alias("late"))
 
 
