@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import signal
+import threading
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from . import session
 from .plans import report
 from .sources import archive, feed, log, universe
@@ -32,28 +36,41 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def run_stream(spark, root: str, source: str, once: bool, started: datetime | None = None) -> int:
+    """One session of the ingest. The next one goes on where this one's source ended."""
     archive.quarantine(spark, root)
     at = started or ingest.utcnow()
     own = log.start_session(spark, root, at)
     names = [r["exchange"] for r in universe.exchanges(spark).collect()]
     ingest.record_state(spark, root, own, "connected", at, names)
-    checkpoint = f"{root}/_checkpoints/{own}"
-    from pyspark.sql import functions as F
-
     raw = feed.stream(spark, source).withColumn("session_id", F.lit(own).cast("long"))
-    queries = ingest.start(spark, raw, root, own, checkpoint, once)
+    run = ingest.Ingest(spark, raw, root, own, f"{root}/_checkpoints")
+    stopped = _stop_on_signals()
     try:
+        queries = run.start(once)
         if once:
             for q in queries:
                 q.awaitTermination()
         else:
-            ingest.await_any(spark, queries)
+            run.watch()
     except KeyboardInterrupt:
         pass
     finally:
-        ingest.finish(spark, queries, root, own, checkpoint, names)
+        run.finish(names)
+        if stopped is not None:
+            signal.signal(signal.SIGTERM, stopped)
     return 0
 
 
+def _stop_on_signals():
+    """SIGTERM shuts down as ^C does; the former handler, or null outside the main thread."""
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    if threading.current_thread() is threading.main_thread():
+        return signal.signal(signal.SIGTERM, stop)
+    return None
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

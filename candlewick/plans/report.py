@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import coverage
 from ..sources import archive, log
 
+# The report's headings and messages.
+TITLE, EMPTY = "archive coverage for {}", "no archive data for {}"
 HEADER = ("EXCHANGE", "PAIR", "FILES", "TRADES", "COVERAGE", "QUIET", "GAP", "GAP_EVT", "LATE_EVT", "STATUS")
 COLUMNS = ("exchange", "pair", "files", "trade_rows", "coverage", "quiet_minutes", "gap_minutes", "gap_events", "late_events", "status")
 
@@ -33,8 +35,9 @@ def rendered(report: DataFrame, day: date) -> str:
     """Aligned text: names to the left, numbers to the right. One line per pair, so it is collected."""
     rows = [tuple(str(r[c]) for c in COLUMNS) for r in report.orderBy("exchange", "pair").collect()]
     if not rows:
-        return f"no archive data for {day.isoformat()}"
+        return EMPTY.format(day.isoformat())
     lines = [HEADER, *rows]
     width = [max(len(x[k]) for x in lines) for k in range(len(HEADER))]
     left = {0, 1, len(HEADER) - 1}
-    return "\n".join("  ".join(v.ljust(w) if k in left else v.rjust(w) for k, (v, w) in enumerate(zip(x, width))).rstrip() for x in lines)
+    table = ("  ".join(v.ljust(w) if k in left else v.rjust(w) for k, (v, w) in enumerate(zip(x, width))).rstrip() for x in lines)
+    return "\n".join([TITLE.format(day.isoformat()), *table])
