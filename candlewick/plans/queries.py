@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..operators import candles, clean, connectivity, coverage, sequence
 from ..session import utc
-from ..sources import archive, universe
+from ..sources import archive, feed, log, universe
 from ..sources.workspace import folder, written
-from ..streaming import processor
+from ..streaming import ingest, processor
+from . import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,6 +235,20 @@ def candles_excluding_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(candles.candles(trades(spark, sf_dir)))
 
 
+@query(f"""WITH {_late('minute')},
+f AS (SELECT exchange, pair, ts_open, greatest(max(epoch(ts_open)) + 65, min(floor(epoch(ts_received))) + 1) AS closed FROM flagged GROUP BY ALL),
+c AS (SELECT exchange, pair, ts_open, min(closed) OVER (PARTITION BY exchange, pair ORDER BY ts_open DESC ROWS UNBOUNDED PRECEDING) AS closed FROM f)
+SELECT exchange, pair, ingest_seq, ts_open FROM flagged JOIN c USING (exchange, pair, ts_open) WHERE late OR floor(epoch(ts_received)) >= closed""")
+def late_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late trades if windows are also emitted by whole seconds of arrival, five seconds after they end."""
+    return plain(candles.replayed(trades(spark, sf_dir)).where("late").select("exchange", "pair", "ingest_seq", "ts_open"))
+
+
+@query(_ohlcv("minute"))
+def candles_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain(candles.ordered(candles.candles(trades(spark, sf_dir), late="include")))
+
+
 @query(f"WITH {_late('hour')} SELECT exchange, pair, ts_open, {_FOLD} FROM flagged WHERE NOT late GROUP BY ALL")
 def hourly_excluding_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(candles.candles(trades(spark, sf_dir), width="hour"))
@@ -302,6 +317,41 @@ def details_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the operational log ------------------------------------------------------
 
 
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed, with errors of the table as breaks of their exchange."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "error", "reconnecting").alias("control"))
+    return raw(spark, sf_dir).drop("control").join(e, "id")
+
+
+@query(f"""WITH {_RAW}, b AS (SELECT raw.*, event_type = 'error' AS broke FROM raw JOIN events ON trade_id = CAST(event_id AS VARCHAR)),
+w AS (SELECT *, lag(broke) OVER (PARTITION BY exchange ORDER BY ingest_seq) AS was FROM b)
+SELECT exchange, ingest_seq, CASE WHEN broke THEN 'disconnected' ELSE 'connected' END AS kind FROM w WHERE broke OR was""")
+def reconnect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connectivity.reconnects(broken(spark, sf_dir)).select("exchange", "ingest_seq", "kind")
+
+
+@query(f"WITH {_RAW} SELECT exchange, count(*) AS events, max(ingest_seq) AS last FROM raw GROUP BY ALL")
+def merged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feeds of the exchanges, made one."""
+    r = raw(spark, sf_dir)
+    whole = feed.merged([r.where(F.col("exchange") == x) for x in ("binance_spot", "coinbase")])
+    return whole.groupBy("exchange").agg(F.count("*").alias("events"), F.max("ingest_seq").alias("last"))
+
+
+@query(f"WITH {_EVENTS} SELECT CAST(1 + id % 2 AS BIGINT) AS session_id, kind, count(*) AS events, count(*) AS ids, id % 2 = 0 AS ended FROM ev GROUP BY ALL")
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log in two sessions, of which the first ends; ids are apart."""
+    root = _root(spark)
+    own = [log.start_session(spark, root, datetime(2024, 1, 1)) for _ in range(2)]
+    e = stream_events(spark, sf_dir)
+    for k, session in enumerate(own):
+        log.record_events(e.where(F.col("id") % 2 == k).withColumn("session_id", F.lit(session).cast("long")), root)
+    log.end_session(spark, root, own[0], datetime(2024, 2, 1))
+    per = log.events(spark, root).groupBy("session_id", "kind").agg(F.count("*").alias("events"), F.countDistinct("id").alias("ids"))
+    ended = log.sessions(spark, root).select(F.col("id").alias("session_id"), F.col("ended_at").isNotNull().alias("ended"))
+    return per.join(ended, "session_id")
+
+
 @query(f"WITH {_EVENTS} SELECT id, session_id, ts, exchange, pair, kind FROM ev WHERE ts >= {_DAY} AND ts < {_NEXT}")
 def events_for_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectivity.events_for_date(stream_events(spark, sf_dir), DAY).drop("details")
@@ -404,9 +454,40 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.with_status(coverage.coverage(**_inputs(spark, sf_dir)))
 
 
-@query(f"WITH {_RAW}, {_FILES} SELECT * FROM fi WHERE date = DATE '{DAY}'")
+@query(ORACLE_SQL["coverage_report"].replace("coalesce(files, 0) AS files, ", "CAST(coalesce(files, 0) > 0 AS BIGINT) AS has_files, "))
+def archived_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage report read back from directories, candle files and log of a written archive."""
+    root = _root(spark)
+    t = trades(spark, sf_dir)
+    archive.write(t, root, archive.TRADES)
+    archive.write(candles.candles(t), root, archive.CANDLES)
+    sessions(spark, sf_dir).where("ended_at IS NOT NULL").select("id", "ended_at").write.parquet(f"{root}/_log/session_ends")
+    sessions(spark, sf_dir).select("id", "started_at", F.lit("").alias("config")).write.parquet(f"{root}/_log/sessions")
+    stream_events(spark, sf_dir).write.parquet(f"{root}/_log/events")
+    log.record_files(archive.registry(spark, root, archive.TRADES), root, 1)
+    r = report.archive_status(spark, root, DAY, datetime.fromisoformat(REPORT_NOW))
+    return r.withColumn("files", (F.col("files") > 0).cast("long")).withColumnRenamed("files", "has_files")
+
+
+@query(f"WITH {_RAW}, {_FILES} SELECT dataset, exchange, pair, date, rows, ts_min, ts_max FROM fi WHERE date = DATE '{DAY}'")
 def files_for_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(files(spark, sf_dir).where(F.col("date") == F.lit(DAY)).orderBy(*KEYS))
+    """Files of the day as the log has them, summed per partition."""
+    root = _root(spark)
+    archive.write(trades(spark, sf_dir), root, archive.TRADES)
+    log.record_files(archive.registry(spark, root, archive.TRADES), root, 1)
+    log.record_files(archive.registry(spark, root, archive.TRADES), root, 1)  # known files are not registered again
+    f = log.files(spark, root, DAY)
+    return plain(f.groupBy("dataset", *archive.PARTITIONS).agg(F.sum("rows").alias("rows"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max")))
+
+
+@query(f"WITH {_RAW} SELECT exchange, pair, count(*) AS rows, CAST(1 AS BIGINT) AS quarantined FROM trades GROUP BY ALL")
+def quarantined_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive with one broken file, which is set aside before it is read."""
+    root = _root(spark)
+    archive.write(trades(spark, sf_dir), root, archive.TRADES)
+    archive.put(spark, f"{root}/trades/exchange=x/pair=A-B/date={DAY}/part-0.parquet", b"broken")
+    moved = archive.quarantine(spark, root)
+    return archive.scan(spark, root, archive.TRADES).groupBy(*KEYS).agg(F.count("*").alias("rows"), F.lit(len(moved)).cast("long").alias("quarantined"))
 
 
 @query(f"WITH {_RAW}, {_FILES} SELECT exchange, pair, count(*) AS files, CAST(sum(rows) AS BIGINT) AS trade_rows FROM fi GROUP BY ALL")
@@ -468,3 +549,24 @@ def streaming_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = processor.remaining(spark, f"{root}/checkpoint")
     columns = [*KEYS, "ts_open", "open", "high", "low", "close", "volume", "trade_count"]
     return plain(spark.read.parquet(f"{root}/candles").select(*columns).unionByName(left.select(*columns)))
+
+
+_EVER = "2100-01-01 00:00:00"
+
+
+@query(f"""WITH {_gaps('exchange, pair').replace(NOW, _EVER)},
+{_late('minute').replace(_RAW + ',', '', 1)}
+SELECT exchange, pair, 'error' AS kind, count(*) AS events FROM judged WHERE reject_reason IS NOT NULL GROUP BY ALL
+UNION ALL SELECT exchange, pair, 'late_trade', count(*) FROM flagged WHERE late GROUP BY ALL
+UNION ALL SELECT exchange, pair, 'gap_detected', count(*) FROM g WHERE "check" != 'ok' GROUP BY ALL
+UNION ALL SELECT DISTINCT exchange, NULL, 'disconnected', 1 FROM raw""")
+def ingested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of the ingest over the feed logs, by kind."""
+    root = _root(spark)
+    raw(spark, sf_dir).select(*feed.names()).write.parquet(f"{root}/raw")
+    own = log.start_session(spark, root, datetime(2024, 1, 1))
+    run = ingest.Ingest(spark, feed.stream(spark, f"{root}/raw").withColumn("session_id", F.lit(own).cast("long")), root, own, f"{root}/_checkpoints")
+    for q in run.start(once=True):
+        q.awaitTermination()
+    run.finish(["binance_spot", "coinbase"])
+    return log.events(spark, root).groupBy("exchange", "pair", "kind").agg(F.count("*").alias("events"))
