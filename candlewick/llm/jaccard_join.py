@@ -1,35 +1,45 @@
-"""N-gram Jaccard join: all pairs of texts whose word 5-grams overlap by 0.8 or more.
+"""N-gram Jaccard join: classes of texts whose word 5-grams overlap by 0.8 or more.
 
 Chosen-path join. Equal texts first become one. A text's set is embedded as
 ``EMBED`` minhash values; value v at place i is the token (i, v), and two sets
 share a token as often as their similarity says. A run sends each set down the
 tokens that a hash of the path samples, about ``CHILDREN`` per node, so that sets
-meet in a bucket if they share a sampled token. Buckets of one set end; small
-ones are compared by brute force; large ones are split again along another
-token. Buckets whose children stay nearly as large hold sets alike: they, and
-what is large after ``DEPTH`` levels, are compared by brute force too, dealt out
-as pairs of blocks. A pair at the threshold meets in one run with probability p,
-``expected_recall`` gives 1 - (1 - p) ** RUNS, and ``RUNS`` holds it above
-``TARGET_RECALL``.
+meet in a bucket if they share a sampled token. Small buckets are compared by
+brute force; large ones are split again along another token, ``DEPTH`` times at
+most or until a child stays nearly as large, and then dealt out in blocks.
+
+Runs come in two rounds, and what is known to be one component by then is not
+compared again. The first settles: few runs, one level, large buckets cut into
+blocks that share the bucket's centre, the set closest to its commonest minhash
+values; its work is linear. The second is whole: it repeats runs until a pair at
+the threshold meets with ``TARGET_RECALL`` (``plan`` derives runs and screen from
+the threshold), and looks only at buckets that hold two components or more. There
+the largest component is dealt out once and the rest goes to each of its blocks,
+so a group of near copies costs what stands beside it, not its square.
 
 Within a bucket the embeddings pick the sets that may have a partner; the full
-5-gram sets of those alone are then fetched and compared exactly, and each pair
-is counted in the least bucket that both are in. What leaves a bucket is a
-number of links per set and a spanning forest, never pairs.
+5-gram sets of those alone are then fetched and compared exactly. What leaves a
+bucket is a spanning forest, never pairs. Exact numbers of links are counted
+afterwards, within each component: that step compares all of a component's
+distinct sets, in pairs of blocks, and alone grows with a component's square;
+``links=False`` and ``firsts`` do without it.
 
 Words are lower-cased runs of letters, digits and all characters beyond ASCII, so
 that copies which differ in case, marks or spacing have the same grams. A text of
 one to four words is one gram. A null text or one without words has no gram and
 links to nothing; equal texts, nulls included, share a class all the same. Repeated rows are copies. Ties: the least
-id represents. Texts are read whole. Only the named columns are read.
+id represents, a null id only where there is no other. Texts are read whole. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -40,26 +50,61 @@ GRAM = 5
 THRESHOLD = 0.8
 EMBED = 64
 CHILDREN = 2.0
-RUNS = 10
+#: Runs of the settling round.
+SETTLING = 2
 DEPTH = 3
-#: Sets, and grams of them, that a task compares by brute force; larger buckets are split or dealt as pairs of such blocks.
-BUCKET = 1024
+#: Sets, and grams of them, that a block holds; larger buckets are split or dealt as blocks.
+BUCKET = 512
 BLOCK_GRAMS = 1 << 20
 TARGET_RECALL = 0.9999
+MOST_RUNS = 200
 #: A bucket's children that keep this share of it show that its sets are alike.
 ALIKE = 0.5
-#: Shared embedded tokens below this rule a pair out: four deviations under the threshold.
-SCREEN = int(EMBED * THRESHOLD - 4 * (EMBED * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
+#: Sets of a large bucket from which its commonest minhash values are read, on average.
+VOTERS = 64
 #: Words that a worker remembers the hashes of; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Embedded tokens that two sets must share to be compared, and runs of the whole round."""
+
+    screen: int
+    runs: int
+
+
+def _shared(similarity: float) -> list[float]:
+    """Chance of each number of shared tokens of a pair."""
+    return [math.comb(EMBED, k) * similarity**k * (1 - similarity) ** (EMBED - k) for k in range(EMBED + 1)]
 
 
-def expected_recall(similarity: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH) -> float:
-    """Chance that a pair meets in a leaf, if every bucket down to ``depth`` is split."""
-    p = 1.0
-    for _ in range(depth):
-        p = 1 - (1 - CHILDREN / EMBED * p) ** (similarity * EMBED)
-    return 1 - (1 - p) ** runs
+def expected_recall(similarity: float, plan: Plan, depth: int = DEPTH) -> float:
+    """Chance that a pair meets in a leaf and passes the screen, if every bucket down to ``depth`` is split."""
+    total = 0.0
+    for k, chance in enumerate(_shared(similarity)):
+        if k >= plan.screen:
+            p = 1.0
+            for _ in range(depth):
+                p = 1 - (1 - CHILDREN / EMBED * p) ** k
+            total += chance * (1 - (1 - p) ** plan.runs)
+    return total
+
+
+def plan(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> Plan:
+    """The highest screen that loses a quarter of what may be lost, and the runs that reach the target with it."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold lies above 0 and up to 1")
+    below, screen = 0.0, 0
+    for k, chance in enumerate(_shared(threshold)):
+        below += chance
+        if below > (1 - target) / 4:
+            break
+        screen = k + 1
+    for runs in range(1, MOST_RUNS + 1):
+        if expected_recall(threshold, found := Plan(screen, runs)) >= target:
+            return found
+    raise ValueError(f"{MOST_RUNS} runs do not reach a recall of {target} at a similarity of {threshold}")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -147,106 +192,171 @@ def _embeddings(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, EMBED)
 
 
-_PATHS = "path long, parent long, used long, grams int, t binary"
+_PATHS = "path long, parent long, used long, grams int, t binary, c long"
 
 
-def _split_roots(reps: DataFrame, runs: int) -> DataFrame:
-    """First level: every set in every run."""
+def _split_roots(sets: DataFrame, first: int, runs: int) -> DataFrame:
+    """First level: every set in each of the runs."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                t, sketch, n = part.column(0), _embeddings(part.column(1)), part.column(2)
-                for r in range(runs):
+                sketch = _embeddings(part.column(1))
+                for r in range(first, first + runs):
                     root = _mix(np.full(len(sketch), r + 1, np.uint64))
                     row, place, child = _chosen(root, sketch, np.zeros(len(sketch), np.uint64))
-                    yield _paths(child, root[row], np.uint64(1) << place.astype(np.uint64), n.take(pa.array(row)), t.take(pa.array(row)))
+                    yield _paths(child, root[row], np.uint64(1) << place.astype(np.uint64), part, row, (2, 0, 3))
 
-    return reps.select("t", "sketch", "n").mapInArrow(run, _PATHS)
+    return sets.select("t", "sketch", "n", "c").mapInArrow(run, _PATHS)
 
 
 def _split_more(large: DataFrame) -> DataFrame:
-    """A further level: rows of ``path, used, grams, t, sketch``."""
+    """A further level: rows of ``path, used, grams, t, c, sketch``."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
                 path, used = (np.asarray(part.column(k), np.int64).view(np.uint64) for k in (0, 1))
-                row, place, child = _chosen(path, _embeddings(part.column(4)), used)
-                yield _paths(child, path[row], used[row] | np.uint64(1) << place.astype(np.uint64), part.column(2).take(pa.array(row)), part.column(3).take(pa.array(row)))
+                row, place, child = _chosen(path, _embeddings(part.column(5)), used)
+                yield _paths(child, path[row], used[row] | np.uint64(1) << place.astype(np.uint64), part, row, (2, 3, 4))
 
-    return large.select("path", "used", "grams", "t", "sketch").mapInArrow(run, _PATHS)
+    return large.select("path", "used", "grams", "t", "c", "sketch").mapInArrow(run, _PATHS)
 
 
-def _paths(path: np.ndarray, parent: np.ndarray, used: np.ndarray, grams: pa.Array, t: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(parent.view(np.int64)), pa.array(used.view(np.int64)), grams, t], ["path", "parent", "used", "grams", "t"])
+def _paths(path: np.ndarray, parent: np.ndarray, used: np.ndarray, of: pa.RecordBatch, row: np.ndarray, columns: tuple[int, int, int]) -> pa.RecordBatch:
+    numbers = [pa.array(x.view(np.int64)) for x in (path, parent, used)]
+    return pa.RecordBatch.from_arrays([*numbers, *(of.column(k).take(pa.array(row)) for k in columns)], ["path", "parent", "used", "grams", "t", "c"])
 
 
-def _leaves(reps: DataFrame, runs: int) -> DataFrame:
-    """``leaf, t, n, grams``: the sets of each bucket to be compared, with its size. Equal buckets are kept once."""
-    level, parts, alike = written(_split_roots(reps, runs), "paths"), [], None
-    for depth in range(DEPTH):
-        sizes = level.groupBy("path").agg(
-            F.count("*").alias("n"), F.sum("grams").alias("grams"), F.min("parent").alias("parent"),
-            F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "t")).alias("y"),
-        ).where("n > 1")
-        sizes = written(sizes, "sizes")
-        if depth:
-            # Parents that a child resembles hold sets alike: they end as they are.
-            shares = sizes.join(large_sizes.select(F.col("path").alias("parent"), F.col("n").alias("of")), "parent")
-            alike = written(shares.where(F.col("n") >= ALIKE * F.col("of")).select("parent").distinct(), "alike")
-            parts.append((large, large_sizes.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi")))
-            sizes = sizes.join(alike, "parent", "left_anti")
-        last = depth == DEPTH - 1
-        parts.append((level, sizes if last else sizes.where(F.col("n") <= BUCKET)))
-        if last:
-            break
-        large_sizes = written(sizes.where(F.col("n") > BUCKET).select("path", "n", "grams", "x", "y"), "large")
-        if large_sizes.isEmpty():
-            break
-        large = level.join(large_sizes.select("path"), "path")
-        level = written(_split_more(large.join(reps.select("t", "sketch"), "t")), "paths")
-    rows = None
-    for held, ends in parts:
-        once = ends.groupBy("x", "y", "n", "grams").agg(F.min("path").alias("path")).select("path", "n", "grams")
-        part = held.select("path", "t").join(once, "path").select(F.col("path").alias("leaf"), "t", "n", "grams")
-        rows = part if rows is None else rows.unionByName(part)
-    return written(rows, "leaves")
+def _blocks(n: Column, grams: Column) -> Column:
+    return F.greatest(F.ceil(n / BUCKET), F.ceil(grams / BLOCK_GRAMS), F.lit(1)).cast("int")
+
+
+def _mixed(level: DataFrame) -> DataFrame:
+    """``path, n, grams, parent, x, y, blocks`` of buckets with sets of two components or more; ``x, y`` tell equal buckets."""
+    sizes = level.groupBy("path").agg(
+        F.count("*").alias("n"), F.sum("grams").alias("grams"), F.min("parent").alias("parent"),
+        F.bit_xor(F.xxhash64("t")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "t")).alias("y"),
+        F.min("c").alias("least"), F.max("c").alias("most"),
+    )
+    return sizes.where("least != most").drop("least", "most").withColumn("blocks", _blocks(F.col("n"), F.col("grams")))
+
 
+def _once(buckets: DataFrame) -> DataFrame:
+    """Equal buckets are compared once."""
+    return buckets.groupBy("x", "y", "n", "grams").agg(F.min("path").alias("path"), F.first("blocks").alias("blocks")).select("path", "n", "blocks")
 
-def _tasks(leaves: DataFrame) -> DataFrame:
-    """``task, block, leaf, t``: each leaf, or each pair of its blocks, as a task of its own.
 
-    A set goes to as many tasks as its leaf has blocks, so that every pair of
-    blocks meets in one.
+def _held(level: DataFrame, buckets: DataFrame, label: str) -> DataFrame:
+    """The rows of the buckets, with their sizes."""
+    return written(level.select("path", "used", "grams", "t", "c").join(buckets, "path"), label)
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """``path, centre``: of each bucket of ``path, n, t, sketch``, the set that agrees best with its commonest minhash values."""
+    voters = members.where(F.pmod(F.xxhash64("path", "t"), F.lit(1 << 40)) < F.lit(float(VOTERS << 40)) / F.col("n"))
+
+    def vote(batches):
+        for batch in batches:
+            out = []
+            for votes in batch.column(1).to_pylist():
+                sketch = np.frombuffer(b"".join(votes), np.uint32).reshape(-1, EMBED)
+                modal = []
+                for k in range(EMBED):
+                    value, count = np.unique(sketch[:, k], return_counts=True)
+                    modal.append(value[count.argmax()])
+                out.append(np.array(modal, np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "modal"])
+
+    # About VOTERS sketches a bucket meet in a list.
+    modal = voters.groupBy("path").agg(F.collect_list("sketch").alias("votes")).mapInArrow(vote, "path long, modal binary")
+
+    def agree(batches):
+        for batch in batches:
+            if batch.num_rows:
+                same = (_embeddings(batch.column(2)) == _embeddings(batch.column(3))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], ["path", "t", "same"])
+
+    rated = members.join(modal, "path").select("path", "t", "sketch", "modal").mapInArrow(agree, "path long, t binary, same int")
+    return rated.groupBy("path").agg(F.max(F.struct("same", "t")).alias("top")).select("path", F.col("top.t").alias("centre"))
+
+
+def _settling_tasks(sets: DataFrame) -> DataFrame:
+    """``task, t, c`` of the settling round: small buckets, and blocks of large ones, each with the bucket's centre."""
+    level = _split_roots(sets, 0, SETTLING)
+    rows = _held(level, _once(_mixed(level)), "leaves")
+    tasks = rows.where("blocks = 1").select(F.col("path").alias("task"), "t", "c")
+    large = rows.where("blocks > 1").select("path", "t", "c", "n", "blocks")
+    if large.isEmpty():
+        return tasks
+    members = written(large.select("path", "n", "t").join(sets.select("t", "sketch"), "t"), "members")
+    centres = _centres(members.select("path", "n", "t", "sketch"))
+    block = F.pmod(F.xxhash64("t", "path"), F.col("blocks")).cast("int")
+    dealt = large.select(F.xxhash64("path", block).alias("task"), "t", "c")
+    shared = centres.withColumnRenamed("centre", "t").join(large, ["path", "t"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return tasks.unionByName(dealt.unionByName(shared.select(F.xxhash64("path", "block").alias("task"), "t", "c")).distinct())
+
+
+def _sides(held: DataFrame) -> DataFrame:
+    """Adds to rows of large buckets ``c1``, the bucket's largest component, and into how many blocks that and the rest are dealt."""
+    parts = held.groupBy("path", "c").agg(F.count("*").alias("m"))
+    top = parts.groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"))
+    top = top.select("path", F.col("top.m").alias("m1"), F.col("top.c").alias("c1"))
+    share = F.col("m1") / F.col("n")
+    d = held.join(top, "path").withColumn("nd", F.ceil(F.col("blocks") * share).cast("int"))
+    return d.withColumn("nr", F.greatest(F.ceil(F.col("blocks") * (1 - share)), F.lit(1)).cast("int"))
+
+
+def _whole_tasks(sets: DataFrame, runs: int) -> DataFrame:
+    """``task, t, c`` of the whole round.
+
+    Large buckets are dealt, and not split, once that makes at most ``CHILDREN``
+    times their rows, as their split would; or where splits end.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("grams") / BLOCK_GRAMS), F.lit(1)).cast("int")
-    d = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("leaf", "t"), F.col("blocks")).cast("int"))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.when(F.col("blocks") == 1, F.col("leaf")).otherwise(F.xxhash64("leaf", F.least("block", "other"), F.greatest("block", "other")))
-    mate = F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block"))
-    return d.select(task.alias("task"), "leaf", mate.alias("block"), "t")
-
-
-def _apart(leaf: np.ndarray, block: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    """Pairs that are not this task's: of one block, or met in a lesser leaf as well."""
-    n = len(block)
-    out = np.tri(n, dtype=bool)
-    if block[0] >= 0 or block.max() >= 0:
-        out |= block[:, None] == block[None, :]
-    number: dict[int, int] = {}
-    own = int(leaf[0])
-    earlier = [[number.setdefault(x, len(number)) for x in xs if x < own] for xs in lists]
-    if number:
-        m = np.zeros((n, len(number)), np.float32)
-        for k, xs in enumerate(earlier):
-            m[k, xs] = 1
-        m = m[:, m.sum(axis=0) > 1]
-        if m.shape[1]:
-            out |= m @ m.T > 0
-    return out
+    level, small, dealt, before = _split_roots(sets, SETTLING, runs), [], [], None
+    for depth in range(DEPTH):
+        sizes = _mixed(level)
+        if before is not None:  # parents that a child resembles hold sets alike: they end as they are
+            sizes = written(sizes, "sizes")
+            of = before.select(F.col("path").alias("parent"), F.col("n").alias("of")).distinct()
+            alike = written(sizes.join(of, "parent").where(F.col("n") >= ALIKE * F.col("of")).select("parent").distinct(), "alike")
+            dealt.append(before.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi"))
+            sizes = sizes.join(alike, "parent", "left_anti")
+        rows = _held(level, _once(sizes), "leaves")
+        small.append(rows.where("blocks = 1").select(F.col("path").alias("task"), "t", "c"))
+        large = rows.where("blocks > 1")
+        if large.isEmpty():
+            break
+        large = written(_sides(large), "large")
+        if depth == DEPTH - 1:
+            dealt.append(large)
+            break
+        cheap = F.col("m1") * F.col("nr") + (F.col("n") - F.col("m1")) * (F.col("nd") + F.col("nr")) <= CHILDREN * F.col("n")
+        dealt.append(large.where(cheap))
+        before = large.where(~cheap)
+        if before.isEmpty():
+            break
+        level = written(_split_more(before.join(sets.select("t", "sketch"), "t")), "paths")
+    tasks = small[0]
+    for part in small[1:]:
+        tasks = tasks.unionByName(part)
+    for part in dealt:
+        tasks = tasks.unionByName(_dealt(part))
+    return tasks
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Tasks of large buckets: each block of the rest meets each other one, and each block of the largest component."""
+    d = rows.withColumn("top", F.col("c") == F.col("c1"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("t", "path"), F.when(F.col("top"), F.col("nd")).otherwise(F.col("nr"))).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("top"), F.col("nr")).otherwise(F.col("nr") + F.col("nd")) - 1)))
+    among = ~F.col("top") & (F.col("other") < F.col("nr"))
+    task = F.when(F.col("top"), F.xxhash64("path", F.lit(0), "other", "block"))
+    task = task.when(among, F.xxhash64("path", F.lit(1), F.least("block", "other"), F.greatest("block", "other")))
+    task = task.otherwise(F.xxhash64("path", F.lit(0), "block", F.col("other") - F.col("nr")))
+    return d.select(task.alias("task"), "t", "c")
 
 
 def _groups(batches, wanted):
@@ -273,49 +383,44 @@ def _joined(held: list[pa.RecordBatch]) -> pa.Table:
     return pa.Table.from_batches(held).combine_chunks()
 
 
-def _screened(tasks: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
-    """``task, leaf, block, t`` of sets whose embedding has a partner in their task."""
-    narrow = reps.join(lists, "t").select("t", "leaves", "sketch")
-    rows = tasks.join(narrow, "t").select("task", "leaf", "block", "t", "leaves", "sketch")
+def _screened(tasks: DataFrame, sets: DataFrame, screen: int) -> DataFrame:
+    """``task, t, c`` of sets whose embedding has a partner of another component in their task."""
+    rows = tasks.join(sets.select("t", "sketch"), "t").select("task", "t", "c", "sketch")
     rows = rows.repartition("task").sortWithinPartitions("task")
 
-    def screen(held):
+    def pick(held):
         d = _joined(held)
         if d.num_rows < 2:
             return None
-        sketch = np.frombuffer(b"".join(d.column("sketch").to_pylist()), np.uint32).reshape(-1, EMBED)
-        n = len(sketch)
-        if n == 2:
-            hits = [1] if (sketch[0] == sketch[1]).sum() >= SCREEN else []
-            near = np.zeros((2, 2), bool)
-            near[0, 1] = bool(hits)
-        else:
-            near = np.zeros((n, n), bool)
-            for i in range(n - 1):
-                near[i, i + 1 :] = (sketch[i + 1 :] == sketch[i]).sum(axis=1) >= SCREEN
-        if not near.any():
+        c = np.asarray(d.column("c"))
+        if (c == c[0]).all():
             return None
-        near &= ~_apart(np.asarray(d.column("leaf")), np.asarray(d.column("block")), d.column("leaves").to_pylist())
-        keep = near.any(axis=0) | near.any(axis=1)
-        return d.select(["task", "leaf", "block", "t", "leaves"]).filter(pa.array(keep)) if keep.any() else None
+        sketch = np.frombuffer(b"".join(d.column("sketch").to_pylist()), np.uint32).reshape(-1, EMBED)
+        keep = np.zeros(len(c), bool)
+        for i in range(len(c) - 1):
+            near = ((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= screen) & (c[i + 1 :] != c[i])
+            keep[i + 1 :] |= near
+            keep[i] |= near.any()
+        return d.select(["task", "t", "c"]).filter(pa.array(keep)) if keep.any() else None
 
     def run(batches):
-        for found in _groups(batches, screen):
+        for found in _groups(batches, pick):
             if found is not None:
                 yield from found.to_batches()
 
-    return rows.mapInArrow(run, "task long, leaf long, block int, t binary, leaves array<long>")
+    return rows.mapInArrow(run, "task long, t binary, c long")
 
 
 def _gram_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``t, grams`` of the wanted representatives (``key, t``)."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key").select("t", "text")
+    """``t, grams`` of the wanted representatives (``key, x, t``)."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.join(wanted, F.col("k").eqNullSafe(F.col("key")) & (F.col("h") == F.col("x"))).select("t", "text")
 
     def run(batches):
         grams = Grams()
         for batch in batches:
             t, out = [], []
-            for k, (d, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if x is not None and xxhash.xxh3_128_digest(x) == d:  # rows that share an id may differ
                     t.append(d)
                     out.append(grams(x).tobytes())
@@ -329,7 +434,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     n = len(sets)
     if n == 2:
         out = np.zeros((2, 2), np.int64)
-        out[0, 1] = len(np.intersect1d(*sets, assume_unique=True))
+        out[0, 1] = out[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
         return out
     every = np.concatenate(sets)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -349,65 +454,111 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _near(grams: pa.ChunkedArray, threshold: float) -> np.ndarray:
+    """Which pairs of different sets reach the threshold."""
+    sets = [np.frombuffer(g, np.uint64) for g in grams.to_pylist()]
+    size = np.array([len(s) for s in sets])
+    both = _overlaps(sets)
+    near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
+    np.fill_diagonal(near, False)
+    return near
+
+
 def _verified(screened: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``t, links, root``: links that a task found for a set, and the least set it hangs on there."""
-    rows = screened.join(sets, "t").repartition("task").sortWithinPartitions("task").select("task", "leaf", "block", "t", "leaves", "grams")
+    """``u, v``: a spanning forest of each task's links, each set on the least one of its tree."""
+    rows = screened.select("task", "t").join(sets, "t").select("task", "t", "grams").repartition("task").sortWithinPartitions("task")
 
     def verify(held):
         d = _joined(held)
         if d.num_rows < 2:
             return None
         names = d.column("t").to_pylist()
-        sets = [np.frombuffer(g, np.uint64) for g in d.column("grams").to_pylist()]
-        size = np.array([len(s) for s in sets])
-        both = _overlaps(sets)
-        near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-        near &= ~_apart(np.asarray(d.column("leaf")), np.asarray(d.column("block")), d.column("leaves").to_pylist())
-        near |= near.T
-        links = near.sum(axis=1)
+        near = _near(d.column("grams"), threshold)
         root = np.full(len(names), -1)
         for k in sorted(range(len(names)), key=names.__getitem__):
-            if root[k] < 0 and links[k]:
+            if root[k] < 0:
                 front = np.zeros(len(names), bool)
                 front[k] = True
                 while front.any():  # all that hangs together with the least one
                     root[front] = k
                     front = near[front].any(axis=0) & (root < 0)
-        hit = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in hit], pa.binary()), pa.array(links[hit], pa.int64()), pa.array([names[root[k]] for k in hit], pa.binary())], ["t", "links", "root"])
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array([names[root[k]] for k in moved], pa.binary()), pa.array([names[k] for k in moved], pa.binary())], ["u", "v"])
 
     def run(batches):
         for found in _groups(batches, verify):
             if found is not None and found.num_rows:
                 yield found
 
-    return rows.mapInArrow(run, "t binary, links long, root binary")
+    return rows.mapInArrow(run, "u binary, v binary")
+
+
+def _counted(roots: DataFrame, sets: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """``t, n_links`` of each set in a component (``v, root``): its links there, which are all it has."""
+    held = roots.select(F.col("v").alias("t"), "root").unionByName(roots.select(F.col("root").alias("t"), "root").distinct())
+    rows = written(held.join(sets.select("t", "n"), "t"), "members")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("g"))
+    sizes = sizes.select("root", _blocks(F.col("m"), F.col("g")).alias("blocks"))
+    d = rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block"))
+    d = d.select(task.alias("task"), side.alias("side"), "t").join(grams, "t").select("task", "side", "t", "grams")
+    d = d.repartition("task").sortWithinPartitions("task")
+
+    def count(held):
+        d = _joined(held)
+        side = np.asarray(d.column("side"))
+        near = _near(d.column("grams"), threshold) if d.num_rows > 1 else np.zeros((1, 1), bool)
+        near &= (side[:, None] != side[None, :]) | (side[:, None] < 0)
+        return pa.RecordBatch.from_arrays([d.column("t").combine_chunks(), pa.array(near.sum(axis=1), pa.int64())], ["t", "links"])
+
+    def run(batches):
+        yield from _groups(batches, count)
 
+    return d.mapInArrow(run, "t binary, links long").groupBy("t").agg(F.sum("links").alias("n_links"))
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, runs: int = RUNS) -> DataFrame:
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, links: bool = True) -> DataFrame:
     """One row per row of ``docs``.
 
     ``key``; ``class_id``: least id of the class, which links and equal texts
-    join; ``n_links``: other texts with a similarity of ``threshold`` or more;
-    ``n_copies``: rows with the same text; ``is_first``: whether the row stands
-    for its class; ``text_hash``: Spark's ``xxhash64`` of the text, for joins back.
+    join; ``n_links``: other texts with a similarity of ``threshold`` or more
+    (null if ``links`` is false); ``n_copies``: rows with the same text;
+    ``is_first``: whether the row stands for its class; ``text_hash``: Spark's
+    ``xxhash64`` of the text, for joins back. A threshold for which the runs
+    cannot reach ``TARGET_RECALL`` raises ``ValueError``.
     """
+    how = plan(threshold)
     rows = written(sketches(docs, key, text), "sketches")
-    reps = written(
-        rows.groupBy("t").agg(F.min(F.struct("key", "n", "sketch")).alias("r"), F.count("*").alias("n_copies")).select("t", "r.*", "n_copies"),
-        "texts",
-    )
-    joined = reps.where("n > 0")
-    leaves = _leaves(joined, runs)
-    lists = leaves.groupBy("t").agg(F.collect_set("leaf").alias("leaves"))  # a few per run
-    screened = written(_screened(_tasks(leaves), joined, lists), "screened")
-    wanted = joined.select("key", "t").join(screened.select("t").distinct(), "t")
-    found = written(_verified(screened, _gram_sets(docs, wanted, key, text), threshold), "links")
-    roots = components(found.select(F.col("t").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("t").agg(F.sum("links").alias("n_links"))
-    own = reps.select("t", "key", "n_copies").join(roots.withColumnRenamed("v", "t"), "t", "left").join(links, "t", "left")
-    own = written(own.select("t", "key", "n_copies", F.coalesce("root", "t").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "own")
-    first = own.groupBy("root").agg(F.min(F.struct("key", "t")).alias("first")).select(F.col("root").alias("of"), F.col("first.key").alias("class_id"), F.col("first.t").alias("first_t"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "n", "sketch", "x"))
+    reps = written(rows.groupBy("t").agg(first.alias("r"), F.count("*").alias("n_copies")).select("t", "r.*", "n_copies").drop("none"), "texts")
+    sets = reps.where("n > 0").select("t", "key", "x", "n", "sketch").withColumn("c", F.xxhash64("t"))
+
+    def round_of(tasks: DataFrame, had: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links of a round's tasks, and the gram sets of all that were compared so far."""
+        screened = written(_screened(tasks, sets, how.screen), "screened")
+        wanted = sets.select("key", "x", "t").join(screened.select("t").distinct(), "t")
+        if had is not None:
+            wanted = wanted.join(had.select("t"), "t", "left_anti")
+        grams = written(_gram_sets(docs, wanted, key, text), "grams")
+        grams = grams if had is None else had.unionByName(grams)
+        return _verified(screened, grams, threshold), grams
+
+    found, grams = round_of(_settling_tasks(sets), None)
+    roots = components(found)
+    sets = sets.join(roots.withColumnRenamed("v", "t"), "t", "left").withColumn("c", F.xxhash64(F.coalesce("root", "t"))).drop("root")
+    sets = written(sets, "settled")
+    more, grams = round_of(_whole_tasks(sets, how.runs), grams)
+    roots = components(more.unionByName(roots.select(F.col("root").alias("u"), "v")))
+    own = reps.select("t", "key", "n_copies").join(roots.withColumnRenamed("v", "t"), "t", "left")
+    if links:
+        own = own.join(_counted(roots, sets, grams, threshold), "t", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        own = own.withColumn("n_links", F.lit(None).cast("long"))
+    own = written(own.withColumn("root", F.coalesce("root", "t")), "own")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "t")).alias("first"))
+    first = first.select(F.col("root").alias("of"), F.col("first.key").alias("class_id"), F.col("first.t").alias("first_t"))
     own = own.join(first, F.col("root").eqNullSafe(F.col("of"))).select(F.col("t").alias("own_t"), "class_id", "first_t", "n_links", "n_copies")
     return (
         rows.select("key", "t", "x")
@@ -421,7 +572,7 @@ def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     The row with the class's least id stays; of rows equal in id and text, one.
     """
-    marked = classes(docs, key, text, threshold).where("is_first")
+    marked = classes(docs, key, text, threshold, links=False).where("is_first")
     held = written(marked.groupBy(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows")), "firsts")
     same = docs[f"`{key}`"].eqNullSafe(F.col("__key")) & (F.xxhash64(docs[f"`{text}`"]) == F.col("__hash"))
     out = docs.join(held.where("__rows = 1"), same, "left_semi")
