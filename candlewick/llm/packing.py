@@ -7,7 +7,8 @@ left is set, and a bitset holds which sums the others can reach; the sum closest
 to the capacity is traced back to counts of each length. The multiset found is
 applied as often as the histogram allows, so that a plan has a few thousand
 steps however many rows there are. Rows take their places by rank in their
-length.
+length, which is counted apart in each file of the written pieces: a hot length is
+as many tasks as there are files, and their number grows with the table.
 
 Null and empty texts hold the end id alone. Repeated rows are packed each. Long
 texts are tokenized whole. A table without rows gives no sequence. Only the named
@@ -31,10 +32,8 @@ from .common import written
 
 CAPACITY = 2048
 END_ID = 1
-#: Ranks within a length are counted apart in so many parts, so that a hot length is dealt out.
-SALTS = 64
 #: Chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -232,14 +231,15 @@ def packed(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
     """``cut`` (a written table of ``pieces``) with ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
-    rows = cut.select(F.col(key).alias("key"), *names[1:]).withColumn("salt", F.pmod(F.xxhash64("key", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # At most capacity * SALTS rows, summed before they are dealt. The join deals by the window's own keys, so it costs no exchange.
-    sizes = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    firsts = written(sizes.selectExpr("length", "salt", "n", "sum(n) OVER (PARTITION BY length ORDER BY salt) - n AS first"), "ranks")
+    rows = cut.select(F.col(key).alias("key"), *names[1:], F.xxhash64(F.col("_metadata.file_path")).alias("file"))
+    # At most ``capacity`` rows a file, summed before they are dealt; then the few files of a length in order.
+    sizes = rows.groupBy("length", "file").agg(F.count("*").alias("n"))
+    firsts = written(sizes.selectExpr("length", "file", "n", "sum(n) OVER (PARTITION BY length ORDER BY file) - n AS first"), "ranks")
     histogram = {r["length"]: r["n"] for r in firsts.where(F.col("length") < capacity).groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(_places(planned(histogram, capacity), capacity))
-    rank = F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY key, start, ids_crc32, doc_tokens)")
-    ranked = rows.withColumn("rank", rank).join(firsts.drop("n"), ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("first"))
+    rank = F.expr("row_number() OVER (PARTITION BY length, file ORDER BY key, start, ids_crc32, doc_tokens)")
+    # Dealt by the window's keys, unless the planner sees that the ranks are few enough to broadcast.
+    ranked = rows.withColumn("rank", rank).join(firsts.drop("n"), ["length", "file"]).withColumn("rank", F.col("rank") - 1 + F.col("first"))
     ranked = ranked.select("key", *names[1:], "rank")
     kind = ranked.schema["key"].dataType.simpleString()
 
