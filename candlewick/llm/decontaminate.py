@@ -38,6 +38,8 @@ from .common import written
 WINDOW = 10
 #: Text of the items that one pass holds in each Python worker's memory at most.
 BLOCK_BYTES = 16 << 20
+#: Words of texts that are searched together; a longer text is searched alone.
+TOGETHER = 1 << 17
 #: Blocks whose tables a worker keeps.
 KEPT_BLOCKS = 2
 
@@ -140,16 +142,38 @@ class Items:
         text = np.array(words, np.uint32)
         self.searchers = [WuManber(n, text, np.array(starts, np.int64)) for n, starts in by_length.items()]
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Disjoint, sorted word ranges that occurrences cover, and the items with an id that occur."""
+    def find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
+        """For each text its disjoint, sorted word ranges that occurrences cover, and the items with an id that occur."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < TOGETHER:
+                size += len(texts[end])
+                end += 1
+            out += self._find(texts[at:end])
+            at = end
+        return out
+
+    def _find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
+        """Texts searched as one, with a number between them that no window holds."""
         get = self.number.get
-        numbers = np.array([get(w, 0) for w in words], np.uint32)
-        spans, items = [], set()
+        starts, numbers = [], []
+        for words in texts:
+            starts.append(len(numbers))
+            numbers += [get(w, 0) for w in words]
+            numbers.append(0)
+        numbers, starts = np.array(numbers, np.uint32), np.array(starts, np.int64)
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        items: list[set] = [set() for _ in texts]
         for s in self.searchers:
-            start, found = s.search(numbers)
-            spans += [(x, x + s.length) for x in np.unique(start).tolist()]
-            items.update(self.names[k] for k in np.unique(np.searchsorted(self.first, found, "right") - 1).tolist())
-        return joined(spans), items - {None}
+            at, found = s.search(numbers)
+            of = np.searchsorted(starts, at, "right") - 1
+            own = np.searchsorted(self.first, found, "right") - 1
+            for k, x in set(zip(of.tolist(), (at - starts[of]).tolist())):
+                spans[k].append((x, x + s.length))
+            for k, i in set(zip(of.tolist(), own.tolist())):
+                items[k].add(self.names[i])
+        return [(joined(x), i - {None}) for x, i in zip(spans, items)]
 
 
 #: Tables of the blocks that this Python worker searched last.
@@ -207,9 +231,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
             find = _items(block, window).find
             for batch in batches:
                 out = []
-                for t in batch.column(1):
-                    words = words_of(t.as_py())
-                    spans, items = find(words)
+                texts = [words_of(t) for t in batch.column(1).to_pylist()]
+                for words, (spans, items) in zip(texts, find(texts)):
                     out.append((len(words), sum(b - a for a, b in spans), len(items), _digest(items), [{"start": a, "end": b} for a, b in spans], sorted(map(str, items))))
                 n, hit, k, digest, spans, items = zip(*out) if out else ([],) * 6
                 yield pa.RecordBatch.from_arrays(
@@ -276,7 +299,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_
         def run(batches, block=block):
             find = _items(block, WINDOW).find
             for batch in batches:
-                keep = [not find(words_of(t.as_py()))[0] for t in batch.column(at).cast(pa.binary())]
+                keep = [not spans for spans, _ in find([words_of(t) for t in batch.column(at).cast(pa.binary()).to_pylist()])]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -46,12 +46,14 @@ def test_search_tables_are_small_and_exact():
         n = min(10, len(w))
         for a in range(len(w) - n + 1):
             known.setdefault(tuple(w[a : a + n]), set()).add(k)
+    texts, wanted = [], []
     for _ in range(300):
         own = items[rng.randrange(1000)][1].decode().split()
         w = [rng.choice(vocabulary) for _ in range(30)] + own[rng.randint(0, 20) : rng.randint(21, 60)] + [rng.choice([*vocabulary, "never"]) for _ in range(30)]
         want = {k for n in range(1, 11) for a in range(len(w) - n + 1) for k in known.get(tuple(w[a : a + n]), ())}
-        spans, got = found.find([x.encode() for x in w])
-        assert got == want and bool(spans) == bool(want)
+        texts.append([x.encode() for x in w])
+        wanted.append(want)
+    assert [(bool(spans), got) for spans, got in found.find(texts)] == [(bool(x), x) for x in wanted]
 
 
 def test_decontamination_against_brute_force(spark):
@@ -90,8 +92,6 @@ def test_article():
     assert html_extract.text_of(html_extract.parse("<p>a &lt;b&gt; &#233;&amp;amp;<p>c")) == "a <b> é&amp;\nc"
 
 
-def test_wrappers_around_the_article_stay():
-    read = lambda h: html_extract.text_of(html_extract.parse(h))
 def test_text_of_an_article_does_not_go_by_its_name():
     read = lambda h: html_extract.text_of(html_extract.parse(h))
     assert read('<article><p>Body.</p><p class="notice">Of note.</p><h2 id="social">Social history</h2></article>') == "Body.\nOf note.\nSocial history"
@@ -100,6 +100,8 @@ def test_text_of_an_article_does_not_go_by_its_name():
     assert read('<body><p class="notice">Of note.</p><div class="cookie-law-x">c</div><p>b</p></body>') == "Of note.\nb"
 
 
+def test_wrappers_around_the_article_stay():
+    read = lambda h: html_extract.text_of(html_extract.parse(h))
     long = "The story goes on and on, word after word. " * 3
     assert read(f"<body><form action=x><nav>m</nav><article><p>{long}</article></form></body>") == long.strip()
     assert read(f"<body><div class='page with-sidebar'><div id=menu>m</div><article><p>{long}</p></article><div class=sidebar>s</div></div></body>") == long.strip()
@@ -161,8 +163,6 @@ def test_template_of_a_part_of_a_large_host_goes(spark):
     assert all(got[100 + i] == f"Story {i}" + ("\nYes." if i < 30 else "") for i in range(200))
 
 
-def test_pages_against_plain_reading(spark, sf):
-    import html
 def test_templates_of_all_hosts_against_brute_force(spark):
     """Random trees of boxes and paragraphs on twelve hosts; recurring ones are counted over pages as plain tuples."""
     rng = random.Random(17)
@@ -199,6 +199,8 @@ def test_templates_of_all_hosts_against_brute_force(spark):
     assert sum(len(left(i // 1000, t)) == 0 for i, b in pages.items() for t in b) > 500
 
 
+def test_pages_against_plain_reading(spark, sf):
+    import html
 
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.extracted(pages).collect()}
