@@ -506,6 +506,19 @@ def subscription_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.config_column(universe.universe(spark))
 
 
+@query(f"SELECT * FROM (VALUES {', '.join(str((a, b, c, b.upper() + '-' + c.upper())) for a, b, c in universe.PAIRS if a == 'coinbase')}) AS t(exchange, base, quote, pair)")
+def exchange_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.subscriptions(spark, "coinbase")
+
+
+@query(f"WITH {_EVENTS}, {_RAW} SELECT 'kind' AS domain, kind AS value, count(*) AS events FROM ev GROUP BY ALL UNION ALL SELECT 'side', side, count(*) FROM raw GROUP BY ALL")
+def checked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event kinds and sides, each held against its domain."""
+    kinds = stream_events(spark, sf_dir).select(F.lit("kind").alias("domain"), V.in_domain(F.col("kind"), V.EVENT_KINDS).alias("value"))
+    sides = raw(spark, sf_dir).select(F.lit("side").alias("domain"), V.in_domain(F.col("side"), V.SIDES).alias("value"))
+    return kinds.unionByName(sides).groupBy("domain", "value").agg(F.count("*").alias("events"))
+
+
 # --- archive and stream ---------------------------------------------------------
 
 
