@@ -22,19 +22,21 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("u"), "v")).distinct()
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each vertex hangs on one root, and no root on another vertex."""
+    if not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        return False
+    return e.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``v, root`` of each vertex but the roots, the least of their components.
 
     ``edges``: columns ``u, v`` of one orderable type, no nulls. Each round is
     written to the shared folder, so lineage stays short; rounds end once every
-    vertex hangs on its root, which a count and a sum of hashes show.
+    vertex hangs on its root.
     """
     e = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "edges")
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(e)
-    while True:
+    while not _are_stars(e):
         e = written(_small_star(_large_star(e)), "stars")
-        now = mark(e)
-        if now == seen:
-            return e.select("v", F.col("u").alias("root"))
-        seen = now
+    return e.select("v", F.col("u").alias("root"))

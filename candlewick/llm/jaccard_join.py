@@ -279,7 +279,7 @@ def _centres(members: DataFrame) -> DataFrame:
                 same = (_embeddings(batch.column(2)) == _embeddings(batch.column(3))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same.astype(np.int32))], ["path", "t", "same"])
 
-    rated = members.join(modal, "path").select("path", "t", "sketch", "modal").mapInArrow(agree, "path long, t binary, same int")
+    rated = members.join(written(modal, "modal"), "path").select("path", "t", "sketch", "modal").mapInArrow(agree, "path long, t binary, same int")
     return rated.groupBy("path").agg(F.max(F.struct("same", "t")).alias("top")).select("path", F.col("top.t").alias("centre"))
 
 
@@ -303,7 +303,8 @@ def _sides(held: DataFrame) -> DataFrame:
     """Adds to rows of large buckets ``c1``, the bucket's largest component, and into how many blocks that and the rest are dealt."""
     parts = held.groupBy("path", "c").agg(F.count("*").alias("m"))
     top = parts.groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"))
-    top = top.select("path", F.col("top.m").alias("m1"), F.col("top.c").alias("c1"))
+    # Written, so that its size is known: the join deals the hot buckets' rows anew only where it cannot broadcast.
+    top = written(top.select("path", F.col("top.m").alias("m1"), F.col("top.c").alias("c1")), "top")
     share = F.col("m1") / F.col("n")
     d = held.join(top, "path").withColumn("nd", F.ceil(F.col("blocks") * share).cast("int"))
     return d.withColumn("nr", F.greatest(F.ceil(F.col("blocks") * (1 - share)), F.lit(1)).cast("int"))
