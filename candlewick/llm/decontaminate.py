@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,8 +39,10 @@ from .common import written
 WINDOW = 10
 #: Text of the items that one pass holds in each Python worker's memory at most.
 BLOCK_BYTES = 16 << 20
-#: Words of texts that are searched together; a longer text is searched alone.
-TOGETHER = 1 << 17
+#: The longest step: shifts are kept in one byte.
+FAR = 255
+#: Blocks whose shift a searcher remembers; beyond it the memory starts anew.
+REMEMBERED = 100_000
 #: Blocks whose tables a worker keeps.
 KEPT_BLOCKS = 2
 
@@ -54,11 +57,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A 40-bit hash of each window of ``n`` word numbers."""
-    h = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        h = (h + words[k : k + len(h)].astype(np.uint64)) * _FACTOR
+def _hashes(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """A 40-bit hash of windows, given as their first words, their second ones and so on."""
+    h = np.uint64(0)
+    for c in columns:
+        h = (c.astype(np.uint64) + h) * _FACTOR
         h ^= h >> np.uint64(29)
     return h >> np.uint64(24)
 
@@ -69,57 +72,81 @@ class WuManber:
     def __init__(self, length: int, words: np.ndarray, starts: np.ndarray):
         self.length, self.words = length, words
         self.block = min(2, length)
+        every = words.astype(np.uint64)
+        if self.block == 2:
+            every = (every[:-1] << np.uint64(32)) | every[1:]
         #: A block's least distance to a window's end, by sorted block.
         blocks, distance = [], []
-        for d in range(length - self.block + 1):
-            blocks.append(np.unique(self._blocks(words)[starts + length - self.block - d]))
-            distance.append(np.full(len(blocks[-1]), d, np.uint8))
+        for d in range(length - self.block + 1):  # nearly all blocks end a window: few are new at a distance
+            found = np.unique(every[starts + length - self.block - d])
+            for had in blocks:
+                found = found[~np.isin(found, had, assume_unique=True)]
+            blocks.append(found)
+            distance.append(np.full(len(found), min(d, FAR), np.uint8))
         key, distance = np.concatenate(blocks), np.concatenate(distance)
-        order = np.lexsort((distance, key))
-        key, distance = key[order], distance[order]
-        least = np.append(True, key[1:] != key[:-1])[: len(key)]
-        self.keys, self.shift = key[least], distance[least]
+        order = np.argsort(key)
+        self.keys, self.shift = key[order], distance[order]
+        self.known: dict[int, int] = {}
         #: Windows by bucket, the number of their last block, and hash in it.
-        bucket = np.searchsorted(self.keys, self._blocks(words)[starts + length - self.block]).astype(np.uint64)
-        place = (bucket << np.uint64(40)) | _hashes(words, length)[starts]
+        bucket = np.searchsorted(self.keys, every[starts + length - self.block]).astype(np.uint64)
+        place = (bucket << np.uint64(40)) | _hashes(words[starts + k] for k in range(length))
         order = np.argsort(place, kind="stable")
         self.place, self.starts = place[order], starts[order]
 
-    def _blocks(self, words: np.ndarray) -> np.ndarray:
-        w = words.astype(np.uint64)
-        return w if self.block == 1 else (w[:-1] << np.uint64(32)) | w[1:]
-
-    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the occurrences, from left to right, and where each window stands in the items."""
-        n, total = self.length, len(words)
-        none = np.zeros(0, np.int64)
-        if total < n or not len(self.keys):
-            return none, none
-        blocks = self._blocks(words)
-        at = np.minimum(np.searchsorted(self.keys, blocks), len(self.keys) - 1)
-        step = np.where(self.keys[at] == blocks, self.shift[at], n - self.block + 1).tolist()
-        ends, k, last = [], n - self.block, total - self.block
-        while k <= last:
-            if jump := step[k]:
-                k += jump
+    def _step(self, block: int) -> int:
+        """How far the search may go on from a block; 0: a window may end here."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        at = int(np.searchsorted(self.keys, np.uint64(block)))
+        there = at < len(self.keys) and int(self.keys[at]) == block
+        step = self.known[block] = int(self.shift[at]) if there else self.length - self.block + 1
+        return step
+
+    def search(self, words: list[bytes], number) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the occurrences, from left to right, and where each window stands in the items.
+
+        ``number`` gives a word's number, or its second argument. Words are numbered only where the search comes by.
+        """
+        n, pair, step_of = self.length, self.block == 2, self.known.get
+        starts, windows, last, total = [], [], n - 1, len(words)
+        while last < total:
+            block = number(words[last])
+            if block is None:  # no window holds this word
+                last += n
+                continue
+            if pair:
+                before = number(words[last - 1])
+                if before is None:
+                    last += n - 1
+                    continue
+                block |= before << 32
+            step = step_of(block)
+            if step is None:
+                step = self._step(block)
+            if step:
+                last += step
             else:
-                ends.append(k)
-                k += 1
-        if not ends:
+                last += 1
+                window = [number(w, 0) for w in words[last - n : last]]
+                if 0 not in window:
+                    starts.append(last - n)
+                    windows.append(window)
+        none = np.zeros(0, np.int64)
+        if not starts:
             return none, none
-        ends = np.array(ends)
-        start = ends - (n - self.block)
-        place = (at[ends].astype(np.uint64) << np.uint64(40)) | _hashes(words, n)[start]
+        start, own = np.array(starts), np.array(windows, np.uint32)
+        block = own[:, -1].astype(np.uint64)
+        if pair:
+            block |= own[:, -2].astype(np.uint64) << np.uint64(32)
+        place = (np.searchsorted(self.keys, block).astype(np.uint64) << np.uint64(40)) | _hashes(own.T)
         low, high = np.searchsorted(self.place, place, "left"), np.searchsorted(self.place, place, "right")
         count = high - low
-        start, low = np.repeat(start, count), np.repeat(low, count)
-        if not len(start):
+        if not count.any():
             return none, none
         first = np.cumsum(count) - count
-        found = self.starts[low + np.arange(len(low)) - np.repeat(first, count)]
-        within = np.arange(n)
-        same = (words[start[:, None] + within] == self.words[found[:, None] + within]).all(axis=1)
-        return start[same], found[same]
+        found = self.starts[np.repeat(low - first, count) + np.arange(count.sum())]
+        same = (np.repeat(own, count, axis=0) == self.words[found[:, None] + np.arange(n)]).all(axis=1)
+        return np.repeat(start, count)[same], found[same]
 
 
 class Items:
@@ -128,52 +155,29 @@ class Items:
     def __init__(self, items: Iterable[tuple[object, bytes | None]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
         number = self.number.setdefault
-        self.names, first, words = [], [], []
-        by_length: dict[int, list[int]] = {}
+        self.names, first, words = [], [], array("I")
+        by_length: dict[int, array] = {}
         for item, text in items:
             own = [number(w, len(self.number) + 1) for w in words_of(text)]
             if own:
                 n = min(window, len(own))
-                by_length.setdefault(n, []).extend(range(len(words), len(words) + len(own) - n + 1))
+                by_length.setdefault(n, array("q")).extend(range(len(words), len(words) + len(own) - n + 1))
                 self.names.append(item)
                 first.append(len(words))
-                words += own
+                words.extend(own)
         self.first = np.array(first, np.int64)
         text = np.array(words, np.uint32)
         self.searchers = [WuManber(n, text, np.array(starts, np.int64)) for n, starts in by_length.items()]
 
-    def find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
-        """For each text its disjoint, sorted word ranges that occurrences cover, and the items with an id that occur."""
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and size < TOGETHER:
-                size += len(texts[end])
-                end += 1
-            out += self._find(texts[at:end])
-            at = end
-        return out
-
-    def _find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
-        """Texts searched as one, with a number between them that no window holds."""
-        get = self.number.get
-        starts, numbers = [], []
-        for words in texts:
-            starts.append(len(numbers))
-            numbers += [get(w, 0) for w in words]
-            numbers.append(0)
-        numbers, starts = np.array(numbers, np.uint32), np.array(starts, np.int64)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set] = [set() for _ in texts]
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Disjoint, sorted word ranges that occurrences cover, and the items with an id that occur."""
+        spans, items = [], set()
         for s in self.searchers:
-            at, found = s.search(numbers)
-            of = np.searchsorted(starts, at, "right") - 1
-            own = np.searchsorted(self.first, found, "right") - 1
-            for k, x in set(zip(of.tolist(), (at - starts[of]).tolist())):
-                spans[k].append((x, x + s.length))
-            for k, i in set(zip(of.tolist(), own.tolist())):
-                items[k].add(self.names[i])
-        return [(joined(x), i - {None}) for x, i in zip(spans, items)]
+            start, found = s.search(words, self.number.get)
+            if len(start):
+                spans += [(x, x + s.length) for x in np.unique(start).tolist()]
+                items.update(self.names[k] for k in np.unique(np.searchsorted(self.first, found, "right") - 1).tolist())
+        return joined(spans), items - {None}
 
 
 #: Tables of the blocks that this Python worker searched last.
@@ -231,8 +235,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
             find = _items(block, window).find
             for batch in batches:
                 out = []
-                texts = [words_of(t) for t in batch.column(1).to_pylist()]
-                for words, (spans, items) in zip(texts, find(texts)):
+                for t in batch.column(1):
+                    words = words_of(t.as_py())
+                    spans, items = find(words)
                     out.append((len(words), sum(b - a for a, b in spans), len(items), _digest(items), [{"start": a, "end": b} for a, b in spans], sorted(map(str, items))))
                 n, hit, k, digest, spans, items = zip(*out) if out else ([],) * 6
                 yield pa.RecordBatch.from_arrays(
@@ -299,7 +304,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_
         def run(batches, block=block):
             find = _items(block, WINDOW).find
             for batch in batches:
-                keep = [not spans for spans, _ in find([words_of(t) for t in batch.column(at).cast(pa.binary()).to_pylist()])]
+                keep = [not find(words_of(t.as_py()))[0] for t in batch.column(at).cast(pa.binary())]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
