@@ -32,8 +32,8 @@ from .common import written
 
 CAPACITY = 2048
 END_ID = 1
-#: Chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 150_000
+#: Chunks that a worker remembers, twice: beyond it those not met since the last time are forgotten.
+REMEMBERED = 250_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -72,21 +72,22 @@ class ChunkTokenizer:
         self.of = Tokenizer.from_file(path)
         self.merge = self.of.model.tokenize
         self.known = _Known(self._learn)
-        self._restart()
-
-    def _restart(self) -> None:
-        self.known.clear()
-        self.known[""] = b""
-        for c in ".,":
-            self.known[c] = self._encoded(c)
+        self.older: dict[str, bytes] = {}
+        self.marks = {"": b"", **{c: self._encoded(c) for c in ".,"}}
+        self.known.update(self.marks)
 
     def _encoded(self, c: str) -> bytes:
         return array("I", self.of.encode(c, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, c: str) -> bytes:
-        known = self.known
+        known, older = self.known, self.older
         if len(known) > REMEMBERED:
-            self._restart()
+            self.older = older = dict(known)
+            known.clear()
+            known.update(self.marks)
+        if (ids := older.get(c)) is not None:
+            known[c] = ids
+            return ids
         mark = c[-1] if c[-1] in ".," else ""
         word = c[:-1] if mark else c
         low = word.lower()
@@ -95,15 +96,14 @@ class ChunkTokenizer:
             known[c] = ids = self._encoded(c)
             return ids
         word = low
-        ids = known.get(word)
-        if ids is None:
+        if (ids := known.get(word)) is None and (ids := older.get(word)) is None:
             if word.isalpha() and word == word.lower():
                 # One run of letters that no normalization changes: the model's input is its bytes.
                 own = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
                 ids = array("I", [t.id for t in self.merge(own)]).tobytes()
             else:
                 ids = self._encoded(word)
-            known[word] = ids
+        known[word] = ids
         if word != c:
             known[c] = ids = ids + known[mark]
         return ids
