@@ -15,7 +15,9 @@ values; its work is linear. The second is whole: it repeats runs until a pair at
 the threshold meets with ``TARGET_RECALL`` (``plan`` derives runs and screen from
 the threshold), and looks only at buckets that hold two components or more. There
 the largest component is dealt out once and the rest goes to each of its blocks,
-so a group of near copies costs what stands beside it, not its square.
+so a group of near copies costs what stands beside it, not its square. Before that,
+sets leave large buckets that have no link there for certain: grams that no other
+set of a large bucket holds are in no intersection, and bound all similarities.
 
 Within a bucket the embeddings pick the sets that may have a partner; the full
 5-gram sets of those alone are then fetched and compared exactly. What leaves a
@@ -305,13 +307,59 @@ def _sides(held: DataFrame) -> DataFrame:
     top = parts.groupBy("path").agg(F.max(F.struct("m", "c")).alias("top"))
     # Written, so that its size is known: the join deals the hot buckets' rows anew only where it cannot broadcast.
     top = written(top.select("path", F.col("top.m").alias("m1"), F.col("top.c").alias("c1")), "top")
+    return _shares(held.join(top, "path"))
+
+
+def _shares(buckets: DataFrame) -> DataFrame:
+    """Adds ``nd`` and ``nr``, the blocks of the largest component and of the rest."""
     share = F.col("m1") / F.col("n")
-    d = held.join(top, "path").withColumn("nd", F.ceil(F.col("blocks") * share).cast("int"))
-    return d.withColumn("nr", F.greatest(F.ceil(F.col("blocks") * (1 - share)), F.lit(1)).cast("int"))
+    return buckets.withColumn("nd", F.ceil(F.col("blocks") * share).cast("int")).withColumn("nr", F.greatest(F.ceil(F.col("blocks") * (1 - share)), F.lit(1)).cast("int"))
 
 
-def _whole_tasks(sets: DataFrame, runs: int) -> DataFrame:
-    """``task, t, c`` of the whole round.
+def _linkable(large: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """The rows of large buckets without sets that can have no link there, buckets measured anew.
+
+    ``grams``: the gram sets of all of them. If s of a set's n grams are in another
+    set too, a set of m grams reaches the threshold with it only if
+    s >= threshold * (n + m - s); and m is at least threshold * n, and the least in the bucket.
+    """
+
+    def opened(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.frombuffer(g, np.int64) for g in part.column(1).to_pylist()]
+                of = np.repeat(np.asarray(part.column(0), np.int64), [len(g) for g in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(sets))], ["of", "gram"])
+
+    held = grams.join(large.select("t").distinct(), "t", "left_semi").select(F.xxhash64("t").alias("of"), "grams")
+    alone = held.mapInArrow(opened, "of long, gram long").groupBy("gram").agg(F.count("*").alias("m"), F.min("of").alias("of")).where("m = 1")
+    alone = written(alone.groupBy("of").agg(F.count("*").alias("alone")), "alone")
+    shared = F.col("grams") - F.coalesce("alone", F.lit(0))
+    rows = large.drop("n", "blocks").join(alone, F.xxhash64("t") == F.col("of"), "left")
+    # Links are given 1e-9 of a gram, see ``_near``.
+    rows = rows.withColumn("room", shared * (1 + 1 / threshold) - F.col("grams") + 1e-6).where(F.col("room") >= threshold * F.col("grams")).drop("of", "alone")
+    rows = written(rows, "linkable")
+    least = written(rows.groupBy("path").agg(F.min("grams").alias("least")), "least")
+    rows = rows.join(least, "path").where("room >= least").drop("room", "least")
+    return rows.join(written(_mixed(rows.withColumn("parent", F.lit(0).cast("long"))).select("path", "n", "blocks"), "sizes"), "path")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Large buckets that share their largest component as one bucket, where that is dealt out in fewer rows than all of them."""
+    dealt = F.col("m1") * F.col("nr") + (F.col("n") - F.col("m1")) * (F.col("nd") + F.col("nr"))
+    apart = rows.select("path", "c1", "n", "m1", "nd", "nr").distinct().groupBy("c1").agg(F.sum(dealt).alias("apart"), F.count("*").alias("buckets")).where("buckets > 1")
+    one = rows.groupBy("c1", "t").agg(F.first("c").alias("c"), F.first("grams").alias("grams"), F.first("used").alias("used"))
+    one = written(one, "merged")
+    sizes = one.groupBy("c1").agg(F.count("*").alias("n"), F.sum("grams").alias("g"), F.count_if(F.col("c") == F.col("c1")).alias("m1"))
+    sizes = _shares(sizes.withColumn("blocks", _blocks(F.col("n"), F.col("g"))).drop("g"))
+    sizes = written(sizes.join(apart, "c1").where(dealt <= F.col("apart")).drop("apart", "buckets"), "sizes")
+    one = one.join(sizes, "c1").withColumn("path", F.xxhash64(F.lit(1), "c1"))
+    return rows.join(sizes, "c1", "left_anti").unionByName(one)
+
+
+def _whole_tasks(sets: DataFrame, runs: int, gram_sets, threshold: float) -> DataFrame:
+    """``task, t, c`` of the whole round; ``gram_sets`` gives ``t, grams`` of wanted ``t``.
 
     Large buckets are dealt, and not split, once that makes at most ``CHILDREN``
     times their rows, as their split would; or where splits end.
@@ -330,6 +378,12 @@ def _whole_tasks(sets: DataFrame, runs: int) -> DataFrame:
         large = rows.where("blocks > 1")
         if large.isEmpty():
             break
+        if before is None:  # what is split further are these sets again
+            large = written(_linkable(large, gram_sets(large.select("t").distinct()), threshold), "linkable")
+            small.append(large.where("blocks = 1").select(F.col("path").alias("task"), "t", "c"))
+            large = large.where("blocks > 1")
+            if large.isEmpty():
+                break
         large = written(_sides(large), "large")
         if depth == DEPTH - 1:
             dealt.append(large)
@@ -344,7 +398,7 @@ def _whole_tasks(sets: DataFrame, runs: int) -> DataFrame:
     for part in small[1:]:
         tasks = tasks.unionByName(part)
     for part in dealt:
-        tasks = tasks.unionByName(_dealt(part))
+        tasks = tasks.unionByName(_dealt(_merged(part)))
     return tasks
 
 
@@ -536,21 +590,27 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     reps = written(rows.groupBy("t").agg(first.alias("r"), F.count("*").alias("n_copies")).select("t", "r.*", "n_copies").drop("none"), "texts")
     sets = reps.where("n > 0").select("t", "key", "x", "n", "sketch").withColumn("c", F.xxhash64("t"))
 
-    def round_of(tasks: DataFrame, had: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links of a round's tasks, and the gram sets of all that were compared so far."""
+    grams: DataFrame | None = None
+
+    def gram_sets(of: DataFrame) -> DataFrame:
+        """The gram sets of all texts asked for so far, ``of`` among them."""
+        nonlocal grams
+        wanted = sets.select("key", "x", "t").join(of, "t")
+        if grams is not None:
+            wanted = wanted.join(grams.select("t"), "t", "left_anti")
+        more = written(_gram_sets(docs, wanted, key, text), "grams")
+        grams = more if grams is None else grams.unionByName(more)
+        return grams
+
+    def links_of(tasks: DataFrame) -> DataFrame:
         screened = written(_screened(tasks, sets, how.screen), "screened")
-        wanted = sets.select("key", "x", "t").join(screened.select("t").distinct(), "t")
-        if had is not None:
-            wanted = wanted.join(had.select("t"), "t", "left_anti")
-        grams = written(_gram_sets(docs, wanted, key, text), "grams")
-        grams = grams if had is None else had.unionByName(grams)
-        return _verified(screened, grams, threshold), grams
-
-    found, grams = round_of(_settling_tasks(sets), None)
+        return _verified(screened, gram_sets(screened.select("t").distinct()), threshold)
+
+    found = links_of(_settling_tasks(sets))
     roots = components(found)
     sets = sets.join(roots.withColumnRenamed("v", "t"), "t", "left").withColumn("c", F.xxhash64(F.coalesce("root", "t"))).drop("root")
     sets = written(sets, "settled")
-    more, grams = round_of(_whole_tasks(sets, how.runs), grams)
+    more = links_of(_whole_tasks(sets, how.runs, gram_sets, threshold))
     roots = components(more.unionByName(roots.select(F.col("root").alias("u"), "v")))
     own = reps.select("t", "key", "n_copies").join(roots.withColumnRenamed("v", "t"), "t", "left")
     if links:

@@ -295,6 +295,31 @@ def test_jaccard_join_group_of_near_copies(spark, monkeypatch):
     assert sum(dealt) <= (jaccard_join.SETTLING + jaccard_join.plan().runs) * jaccard_join.CHILDREN * 2200 * 3, dealt
 
 
+@pytest.mark.parametrize("passage", [False, True])
+def test_jaccard_join_large_groups_without_links(spark, monkeypatch, passage):
+    """Copies too far from each other to link, beside a component or around a long passage, make rows in proportion, and no link is lost."""
+    rng = random.Random(37)
+    monkeypatch.setattr(jaccard_join, "BUCKET", 32)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(600):
+        w = list(base)
+        if passage and i % 10:
+            w = w[:100] + [f"{i}_{k}" for k in range(60)]
+        else:
+            for k in rng.sample(range(150), rng.randint(0, 2) if i % 2 else rng.randint(5, 9)):
+                w[k] = f"x{i}_{k}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    dealt = []
+    screened = jaccard_join._screened
+    monkeypatch.setattr(jaccard_join, "_screened", lambda tasks, *a: dealt.append(tasks.count()) or screened(tasks, *a))
+    got = by_id(tuple(r) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links", "n_copies").collect())
+    assert got == join_by_hand(rows)
+    print("dealt", dealt)
+    assert dealt[-1] <= 10 * len(rows)
+
+
 def test_jaccard_join_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.classes(docs).count() == 0 and jaccard_join.firsts(docs).count() == 0
